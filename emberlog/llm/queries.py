@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import sharding
+from emberlog.llm import quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_sharding": op4_sharding}
+    return {"op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.oracle_sql()}
+    return {"op4_sharding": sharding.oracle_sql(), "op6_quality_rules": quality.oracle_sql()}
