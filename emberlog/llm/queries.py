@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import quality, sharding
+from emberlog.llm import quality, sharding, token_files
+from emberlog.llm.runtime import ship, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -24,7 +30,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules}
+    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,20 @@ def crc32_of_id(doc_id: Column) -> Column:
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; EMBERLOG_TOKENIZERS names another folder."""
     return os.path.join(os.environ.get("EMBERLOG_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="emberlog-code-")) / "emberlog_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted((root / "emberlog").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    _SHIPPED[context.applicationId] = str(archive)
