@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import quality, sharding, token_files
+from emberlog.llm import piece_codec, quality, sharding, token_files
 from emberlog.llm.runtime import ship, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules}
+    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
