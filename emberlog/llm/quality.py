@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.runtime import SPACE_CLASS, SPACES, materialize
@@ -140,8 +140,7 @@ def certified(counts: DataFrame, labels: DataFrame, stratum: Column, alpha: floa
     holdout = counts.select(F.col("doc_id").alias("_id"), stratum.alias("stratum"), *[prefix + c for c in COUNTS]).join(good, F.col("_id") == F.col("_good"))
     cells = [(rule, c) for rule, (_, _, ladder) in RULES.items() for c in ladder]
     sums = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(above(rule, F.lit(c), prefix), 1)).alias(f"{rule}_{c}") for rule, c in cells]).where(F.col("n") >= MIN_HOLDOUT)
-    n_strata = sums.agg(F.count(F.lit(1)).alias("n_strata"), F.lit(0).alias("_one"))
-    sums = sums.withColumn("_one", F.lit(0)).join(F.broadcast(n_strata), "_one")  # a table of one row
+    sums = sums.withColumn("n_strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row for each stratum
     level = F.lit(delta) / (len(RULES) * F.col("n_strata"))
     lowest = [F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES]
     flat = sums.select("stratum", "n", "n_strata", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{c}").alias("k")) for rule, c in cells])))

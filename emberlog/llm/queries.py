@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberlog.llm import piece_codec, quality, sharding, token_files
+from emberlog.llm import edit_counts, piece_codec, quality, sharding, token_files
 from emberlog.llm.runtime import ship, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +34,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edited_counts(table(spark, sf_dir, "documents"), edit_counts.standard_edits(F.col("text")), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op8_sentencepiece": op8_sentencepiece}
+    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op8_sentencepiece": op8_sentencepiece, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
