@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import edit_counts, piece_codec, quality, sharding, token_files
-from emberlog.llm.runtime import ship, tokenizer_path
+from emberlog.llm import edit_counts, language_id, piece_codec, quality, sharding, token_files
+from emberlog.llm.runtime import crc32_of_id, ship, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,12 +34,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(4)) == 2
+    net = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edited_counts(table(spark, sf_dir, "documents"), edit_counts.standard_edits(F.col("text")), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op8_sentencepiece": op8_sentencepiece, "op10_token_counts": op10_token_counts}
+    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
