@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import edit_counts, language_id, piece_codec, quality, sharding, token_files
+from emberlog.llm import decontaminate, edit_counts, language_id, piece_codec, quality, sharding, token_files
 from emberlog.llm.runtime import crc32_of_id, ship, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
@@ -46,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+    return {"op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op7_decontamination": op7_decontamination, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
