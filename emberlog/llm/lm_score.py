@@ -178,10 +178,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", order: int = OR
     asked = rows.groupBy("block").applyInArrow(ask, keycounts.ASKED)
     answers = keycounts.answered(asked, statistics=True)
     bins = answers.where(F.col("block") == -1).groupBy("kind", "bin").agg(F.sum("n_types").alias("n_types"), F.sum("n_sum").alias("n_sum"))
-    # one row of a few hundred bins, whatever the input
-    statistics = bins.agg(F.collect_list(F.struct("kind", "bin", "n_types", "n_sum")).alias("statistics")).withColumn("_one", F.lit(1))
-    answers = answers.where(F.col("block") >= 0).select("block", "bucket", "kind", "counts", (F.col("block") * 0 + 1).cast("int").alias("_one"))
-    answers = answers.join(F.broadcast(statistics), "_one").drop("_one")
+    # one list of a few hundred bins, whatever the input, beside each kind of answer
+    statistics = bins.agg(F.collect_list(F.struct("kind", "bin", "n_types", "n_sum")).alias("statistics"))
+    statistics = statistics.select("statistics", F.explode(F.array(*[F.lit(k) for k in range(1, order + 1)])).alias("kind"))
+    answers = answers.where(F.col("block") >= 0).select("block", "bucket", "kind", "counts").join(F.broadcast(statistics), "kind")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, SCHEMA)
 
 
