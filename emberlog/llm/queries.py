@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontaminate, edit_counts, language_id, lm_score, piece_codec, quality, sharding, token_files
+from emberlog.llm import decontaminate, edit_counts, jaccard_join, language_id, lm_score, piece_codec, quality, sharding, token_files
 from emberlog.llm.runtime import crc32_of_id, ship, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_token_output": op2_token_output, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op7_decontamination": op7_decontamination, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_token_output": op2_token_output, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op7_decontamination": op7_decontamination, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
