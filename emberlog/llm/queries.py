@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontaminate, edit_counts, jaccard_join, language_id, lm_score, piece_codec, quality, sharding, token_files
+from emberlog.llm import decontaminate, edit_counts, html_extract, jaccard_join, language_id, lm_score, piece_codec, quality, sharding, token_files
 from emberlog.llm.runtime import crc32_of_id, ship, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_token_output": op2_token_output, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_sharding": op4_sharding, "op6_quality_rules": op6_quality_rules, "op7_decontamination": op7_decontamination, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_token_output": op2_token_output, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_sharding": op4_sharding, "op5_html_extraction": op5_html_extraction, "op6_quality_rules": op6_quality_rules, "op7_decontamination": op7_decontamination, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
