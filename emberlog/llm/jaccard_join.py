@@ -26,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import keycounts
@@ -35,7 +35,7 @@ from emberlog.llm.runtime import materialize
 from emberlog.llm.textblock import large, row_ranges, windows, words_of
 
 SHINGLE, PERCENT = 3, 90
-SHINGLED = "doc_id long, n long, class binary, prefix binary, tokens array<long>, positions array<int>, members binary"
+SHINGLED = "doc_id long, mark long, n long, class binary, prefix binary, tokens array<long>, positions array<int>, members binary"
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +61,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def shingled(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row of ``SHINGLED`` for each document; ``tokens`` (posted prefix shingles) and ``members`` (the set) once for each class and block."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     n_blocks, n_buckets = keycounts.sizes(rows, "text", 0.2)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("long"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n_blocks)).cast("long"))
 
     def ask(table: pa.Table) -> pa.Table:
         keys, counts = np.unique(shingle_sets(large(table["text"]), k)[0], return_counts=True)
@@ -74,7 +74,7 @@ def shingled(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int
         sets, first = shingle_sets(large(table["text"]), k) if table.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         shared = keycounts.answer_for(answers, 1)[np.unique(sets, return_inverse=True)[1]] if len(sets) else np.zeros(0, np.int64)
         met: set[bytes] = set()
-        for i, doc in enumerate(table["doc_id"].to_pylist() if table.num_rows else []):
+        for i, (doc, mark) in enumerate(zip(table["doc_id"].to_pylist(), table["mark"].to_pylist()) if table.num_rows else []):
             own, df = sets[first[i] : first[i + 1]], shared[first[i] : first[i + 1]]
             name, prefix, tokens, positions, members = None, None, None, None, None
             if len(own):
@@ -90,9 +90,9 @@ def shingled(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int
                     if len(posted):
                         prefix = blake2b(own[near].astype("<u8").tobytes(), digest_size=16, key=str(len(own)).encode()).digest()
                         tokens, positions, members = own[near[posted]].view(np.int64), posted.astype(np.int32), raw
-            for column, value in zip(out, (doc, len(own), name, prefix, tokens, positions, members)):
+            for column, value in zip(out, (doc, mark, len(own), name, prefix, tokens, positions, members)):
                 out[column].append(value)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         return pa.Table.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
     answers = keycounts.answered(rows.groupBy("block").applyInArrow(ask, keycounts.ASKED))
@@ -155,27 +155,38 @@ def linked_classes(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     return roots(links.unionByName(late))
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and class_size (documents with the same set) for every row."""
+def components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, component_id (smallest id reachable by links), class_size (documents with the same set)
+    and component (a name that is never null) for every row."""
     table = materialize(shingled(docs, text, k, percent), "jaccard-sets")
     tree = materialize(linked_classes(table, percent), "jaccard-roots")
     classes = table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("class_size"))
     classes = classes.join(tree.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "root").select("class", "component_id", "class_size")
-    out = table.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    named = classes.join(lows, "root").select("class", "root", "component_id", "class_size")
+    out = table.select("doc_id", "mark", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    alone = F.col("class").isNull()
+    return out.select(
+        "doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.when(alone, F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("mark").cast("string"))).otherwise(F.hex("root")).alias("component"),
+    )
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_size for every row."""
+    return components(docs, text, k, percent).select("doc_id", "n_shingles", "component_id", "class_size")
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of the document with the smallest id of each component.
+    """The rows of ``docs``, all columns, of the document with the smallest id of each component; of equal rows one stays.
 
-    Of rows that repeat an id, one stays.
+    A document is known by its id and the hash of its text, so a repeated id with another text is another document.
     """
     own = docs.columns
-    numbered = materialize(docs.withColumn("_j_row", F.monotonically_increasing_id()), "jaccard-documents")
-    body = numbered.select(F.col("_j_row").alias("doc_id"), F.col(text).alias("text"))
-    found = jaccard_components(body)
-    ids = numbered.select(F.col("_j_row"), "doc_id").join(found.select(F.col("doc_id").alias("_j_row"), "component_id"), "_j_row")
-    best = ids.groupBy("component_id").agg(F.min_by("_j_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_j_row")).alias("_j_row"))
-    return numbered.join(best.select("_j_row"), "_j_row", "left_semi").select(*own)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    best = components(docs, text).groupBy("component").agg(F.min_by(F.struct("doc_id", "mark"), order).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("_b_id"), F.col("b.mark").alias("_b_mark"))
+    marked = docs.withColumn("_j_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_b_id")) & (F.col("_j_mark") == F.col("_b_mark")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_j_mark").orderBy(F.lit(0)))
+    return kept.withColumn("_j_n", first).where(F.col("_j_n") == 1).select(*own)
