@@ -1 +1 @@
-
+"""Files: segments, logs and foreign databases."""
