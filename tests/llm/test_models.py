@@ -132,7 +132,7 @@ def test_html_extraction(spark):
     assert len(out) == len(pages) and all(r["n_chars"] == len(r["text"]) for r in out)
     assert got[1]["text"] == "Big & bold\n\nFirst paragraph <1> goes on. It has some more words.\n\nSecond one, unclosed\n\nThird © one ends it here."
     assert got[2]["text"] == got[3]["text"] == "" and got[2]["url"] is None
-    assert got[6]["text"].endswith("Third &copy"[:5] + " ©&am"[0:2] + "&am") or "Third" in got[6]["text"]
+    assert got[6]["text"].endswith("\n\nThird &co&am")
     assert got[7]["text"].count("\n\n") == 2999
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

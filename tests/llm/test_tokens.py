@@ -2,6 +2,7 @@ import io
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,26 +92,18 @@ def test_piece_codec(spark, edge, edge_rows, empty):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(TEXT, max_size=3))
 def test_piece_codec_parity(texts):
-    import sentencepiece
-
-    sp, codec = _sp(sentencepiece), _codec()
+    sp, codec = _both()
     texts = [t.replace("\0", "") for t in texts]
     ids, first, differing = codec.encode(large(pa.array(texts, pa.string())))
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [sp.encode(t) for t in texts]
     assert [codec.whole.encode(t, add_special_tokens=False).ids for t in texts] == [sp.encode(t) for t in texts]
 
 
-_KEPT = {}
-
-
-def _sp(module):
-    return _KEPT.setdefault("sp", module.SentencePieceProcessor(model_file=PIECES)) if "sp" in _KEPT else _KEPT.setdefault("sp", module.SentencePieceProcessor(model_file=PIECES))
-
+@lru_cache(1)
+def _both():
+    import sentencepiece
 
-def _codec():
-    if "codec" not in _KEPT:
-        _KEPT["codec"] = P.PieceCodec(PIECES)
-    return _KEPT["codec"]
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES), P.PieceCodec(PIECES)
 
 
 def _proto(pieces, kind):
