@@ -13,15 +13,17 @@ from emberlog.schema import ENTRY
 from emberlog.sources.files import Files
 
 
-def write_run(files: Files, folded: DataFrame, n_files: int, block_bytes: int, expected_keys: int | None = None) -> list[Segment]:
+def write_run(files: Files, folded: DataFrame, n_files: int | None, block_bytes: int, expected_keys: int | None = None) -> list[Segment]:
     """Write a folded run in ``n_files`` key ranges under a name that nothing has used; no file for an empty run.
 
+    Without ``n_files`` (size unknown) Spark ranges the keys and joins small ranges by its advisory partition size.
+
     Files are sorted by key, so Parquet's statistics skip row groups, and carry a Bloom filter on it for point reads.
     Ranges and counts are read from the written files' key column.
     """
     run = uuid.uuid4().hex
     rows = folded.select(*[F.col(f.name).cast(f.dataType) for f in ENTRY])
-    dealt = rows.repartitionByRange(n_files, "key") if n_files > 1 else rows.coalesce(1)
+    dealt = rows.repartitionByRange("key") if n_files is None else rows.repartitionByRange(n_files, "key") if n_files > 1 else rows.coalesce(1)
     writer = dealt.sortWithinPartitions("key").write.mode("errorifexists").option("parquet.block.size", max(block_bytes, 1 << 16)).option("parquet.bloom.filter.enabled#key", "true")
     if expected_keys:
         writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(expected_keys))
