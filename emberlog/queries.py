@@ -59,7 +59,8 @@ def kv_scan_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return get_many(kvlog(spark, sf_dir), spark.createDataFrame([(k,) for k in WANTED], "key string"))
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, WANTED))).alias("key"))
+    return get_many(kvlog(spark, sf_dir), wanted)
 
 
 def kv_delete_shadowed(spark: SparkSession, sf_dir: str) -> DataFrame:
