@@ -287,6 +287,8 @@ def made_page(r: Random) -> tuple[str, list[bool]]:
     def words(n: int, common: str = "") -> str:
         own = common.split()
         xs = [pick(own) if own and r.random() < 0.5 else word() for _ in range(n)]
+        if r.random() < 0.06:
+            xs = xs[: r.randrange(1, 4)] + [xs[-1]] * (n - 1)
         if r.random() < 0.08:
             xs = [x + pick(["!!", "***", "$$$", "&amp;&amp;", " |"]) for x in xs]
         return " ".join(xs)
@@ -349,7 +351,7 @@ def made_page(r: Random) -> tuple[str, list[bool]]:
     out.append("<div class=\"wrap\">" * wrapped + f"<{box}>")
     if r.random() < 0.75:
         say("h1", sentence(2, 14), True)
-    for _ in range(r.randrange(1, 12)):
+    for _ in range(r.randrange(1, 12) if r.random() < 0.95 else r.randrange(12, 70)):
         x = r.random()
         if x < 0.78:
             say("p", inline(sentence(1 if r.random() < 0.15 else 5, 120)), True)
