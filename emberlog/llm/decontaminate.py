@@ -14,8 +14,8 @@ positions by k at most, those lie on at most k + 1 neighbouring diagonals (text
 No step samples or caps anything. The documents are scanned where they lie: no shuffle. The benchmark is the stated query set; its
 index is broadcast in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents for each block.
 
-Defined cases: null and empty texts match nothing; null, empty and very short items (whose bound is below ``LEAST`` q-grams)
-are looked for exactly; repeated items match each under its own id; repeated documents are judged one by one; empty tables give empty
+Defined cases: null and empty texts match nothing; items whose bound would be below ``LEAST`` q-grams get fewer edits, down to none;
+null items and items under ``Q`` bytes match nothing; repeated items match each under its own id; repeated documents are judged one by one; empty tables give empty
 results; other columns are ignored or, in ``drop_contaminated``, handed on.
 """
 
