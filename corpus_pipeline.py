@@ -28,9 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a clear language; a null language becomes the predicted one."""
     ship(spark)
     net = language_id.fit(docs, F.lit(True))
-    told = language_id.predict(docs, net, keep=docs.columns)
+    # the columns of docs travel in one struct, so none of their names can clash
+    told = language_id.predict(docs.select(F.struct(*docs.columns).alias("_doc")), net, text="_doc.text", keep=["_doc"])
     kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return kept.select(*[F.coalesce("_doc.lang", "lang_pred").alias("lang") if c == "lang" else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

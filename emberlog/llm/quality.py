@@ -169,11 +169,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", alpha:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns only. Texts and counts are written once."""
-    own, stratum = docs.columns, F.coalesce(F.col("lang"), F.lit(""))
-    counted = materialize(with_counts(docs, text, "_q_"), "quality-documents")
-    cutoffs = materialize(certified(counted, labels, stratum, prefix="_q_"), "quality-cutoffs")
-    return judge(counted, cutoffs, stratum, "_q_").where("kept").select(*own)
+    """The rows of ``docs`` that the rules keep, with their own columns only. Texts and counts are written once.
+
+    The columns of ``docs`` travel in one struct, so none of their names can clash.
+    """
+    stratum = F.coalesce(F.col("_q_doc.lang"), F.lit(""))
+    packed = docs.select(F.struct(*docs.columns).alias("_q_doc"))
+    counted = materialize(with_counts(packed, f"_q_doc.{text}"), "quality-documents")
+    cutoffs = materialize(certified(counted.withColumn("doc_id", F.col("_q_doc.doc_id")), labels, stratum), "quality-cutoffs")
+    return judge(counted, cutoffs, stratum).where("kept").select("_q_doc.*")
 
 
 #: Common tables of the SQL form: counts, cutoffs and verdicts of ``documents``.
