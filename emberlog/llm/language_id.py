@@ -145,14 +145,19 @@ def has_letter(text: Column) -> Column:
 def fit(docs: DataFrame, trainable: Column, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS) -> ByteNet | None:
     """Learn from rows where ``trainable`` holds and the label is not null; None if there are none.
 
-    Ids are chosen from narrow rows, ranked within their language before and after one small shuffle; only the chosen
-    rows' windows, at most ``sample_docs`` x ``SAMPLE_WINDOWS``, come to the driver.
+    Ids are chosen from narrow rows: languages are counted, each is thinned by hash to about twice ``sample_docs``, and only
+    these are ranked. The chosen rows' windows, at most ``sample_docs`` x ``SAMPLE_WINDOWS``, come to the driver.
     """
     n = F.char_length(text)
     slices = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col(text), (1 + F.floor(i * F.greatest(n - WINDOW, F.lit(0)) / (SAMPLE_WINDOWS - 1))).cast("int"), F.lit(WINDOW)))
     known = docs.where(trainable & F.col(label).isNotNull() & F.col(text).isNotNull())
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", label).withColumn("_turn", turn).where(F.col("_turn") <= sample_docs).orderBy("_turn", F.xxhash64("doc_id"), label).limit(sample_docs)
+    # a hash sample of about twice the need of each language; a sample of sample_docs rows holds no more languages than that
+    named = docs.where(trainable & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("_label"))
+    sizes = named.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "_label").limit(sample_docs)
+    part = F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    near = named.join(F.broadcast(sizes), "_label").where(part * F.col("_n") < 2 * sample_docs)
+    turn = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = near.withColumn("_turn", turn).where(F.col("_turn") <= sample_docs).orderBy("_turn", F.xxhash64("doc_id"), "_label").limit(sample_docs)
     # at most sample_docs ids
     rows = known.where(has_letter(F.col(text))).join(F.broadcast(chosen.select(F.col("doc_id").alias("_chosen")).distinct()), F.col("doc_id").eqNullSafe(F.col("_chosen")))
     sample = rows.select("doc_id", F.col(label).alias("label"), F.array_distinct(slices).alias("slices")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
