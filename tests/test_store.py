@@ -16,30 +16,30 @@ def pairs(df):
 
 def test_put_get_delete_scan(spark, tmp_path):
     with KVStore.open(spark, str(tmp_path / "s")) as s:
-        for name in ("adam", "vardhan", "catherine"):
+        for name in ("anna", "victor", "cleo"):
             s.put(f"/user/name/{name}", name)
         s.put("/abc", "abc")
         s.put("/xyz", b"xyz")
         assert s.get("/abc") == b"abc" and s.get("/nope") is None
         s.delete("/nope")
-        assert [k for k, _ in pairs(s.scan("/user/"))] == ["/user/name/adam", "/user/name/catherine", "/user/name/vardhan"]
-        assert next(s.iterate("/user/")) == ("/user/name/adam", b"adam")
+        assert [k for k, _ in pairs(s.scan("/user/"))] == ["/user/name/anna", "/user/name/cleo", "/user/name/victor"]
+        assert next(s.iterate("/user/")) == ("/user/name/anna", b"anna")
         s.freeze()
-        s.delete("/user/name/catherine")
-        s.put("/user/name/adam", "adam2")
-        assert pairs(s.scan("/user/")) == [("/user/name/adam", b"adam2"), ("/user/name/vardhan", b"vardhan")]
+        s.delete("/user/name/cleo")
+        s.put("/user/name/anna", "anna2")
+        assert pairs(s.scan("/user/")) == [("/user/name/anna", b"anna2"), ("/user/name/victor", b"victor")]
         s.freeze()
         before = s.scan("/user/")
-        s.put("/user/name/adam", "adam3")
-        s.put("/user/name/catherine", b"")
-        s.delete("/user/name/vardhan")
-        assert pairs(s.scan("/user/")) == [("/user/name/adam", b"adam3"), ("/user/name/catherine", b"")]
-        assert pairs(before) == [("/user/name/adam", b"adam2"), ("/user/name/vardhan", b"vardhan")]
+        s.put("/user/name/anna", "anna3")
+        s.put("/user/name/cleo", b"")
+        s.delete("/user/name/victor")
+        assert pairs(s.scan("/user/")) == [("/user/name/anna", b"anna3"), ("/user/name/cleo", b"")]
+        assert pairs(before) == [("/user/name/anna", b"anna2"), ("/user/name/victor", b"victor")]
         s.flush()
         assert len(s.levels()[0]) == 2
-        assert pairs(s.scan("/user/")) == [("/user/name/adam", b"adam3"), ("/user/name/catherine", b"")]
-        assert s.get("/user/name/vardhan") is None and s.get("/user/name/catherine") == b"" and s.get("/xyz") == b"xyz"
-        assert pairs(s.scan("/items/")) == [] and pairs(s.scan("/user/vardhan_")) == []
+        assert pairs(s.scan("/user/")) == [("/user/name/anna", b"anna3"), ("/user/name/cleo", b"")]
+        assert s.get("/user/name/victor") is None and s.get("/user/name/cleo") == b"" and s.get("/xyz") == b"xyz"
+        assert pairs(s.scan("/items/")) == [] and pairs(s.scan("/user/victor_")) == []
     with pytest.raises(StoreError):
         s.put("a", "b")
 
