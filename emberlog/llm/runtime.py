@@ -51,8 +51,13 @@ def crc32_of_id(doc_id: Column) -> Column:
 
 
 def tokenizer_path(name: str) -> str:
-    """Where a public vocabulary file lies; EMBERLOG_TOKENIZERS names another folder."""
-    return os.path.join(os.environ.get("EMBERLOG_TOKENIZERS", "/opt/tokenizers"), name)
+    """Where a public vocabulary file lies: in the folder that EMBERLOG_TOKENIZERS names, in /opt/tokenizers, or where its package says."""
+    path = os.path.join(os.environ.get("EMBERLOG_TOKENIZERS", "/opt/tokenizers"), name)
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 _SHIPPED: dict[str, str] = {}
