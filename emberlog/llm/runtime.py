@@ -17,17 +17,28 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Application id -> folder, where none is configured.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
     Read from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made and remembered in the session.
+    temporary folder is made and remembered for the application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+        own = spark.sparkContext.applicationId
+        if own not in _FOLDERS:
+            _FOLDERS[own] = "file://" + tempfile.mkdtemp(prefix="emberlog-")
+        return _FOLDERS[own]
+    if "://" in found:
+        return found
+    # a path without a scheme means the session's default file system
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
