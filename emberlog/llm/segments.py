@@ -30,7 +30,7 @@ _BLANK[[*range(9, 14), *range(28, 33)]] = True
 class SegmentCache:
     """Segment (bytes) -> value (bytes), of at most twice ``most`` segments: when half is full, the older half goes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 200_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 100_000) -> None:
         self.encode, self.most, self.new, self.old = encode, most, {}, {}
 
     def __call__(self, keys: list[bytes]) -> list[bytes]:
