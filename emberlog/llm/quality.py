@@ -12,7 +12,7 @@ stratum. So with probability ``1 - delta`` no stratum loses more than ``alpha``
 All of it is DataFrame expressions. Ratios are compared as integers (1000 * a > cutoff * b), so no rounding decides.
 
 Defined cases: a null text has no words (and fails the base rule, as any text under ``MIN_WORDS`` words does); a null language is
-the stratum ''; strata with under ``MIN_HOLDOUT`` good labels get no cutoff; an empty table or no labels give base verdicts only;
+the stratum ''; strata with under ``MIN_HOLDOUT`` good labels get no cutoff unless pooled; an empty table or no labels give base verdicts only;
 repeated rows are judged one by one; columns of the input that clash with the counts' names are left alone because only named columns are read.
 """
 
@@ -130,17 +130,31 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(kd >= nd * rate, F.lit(1.0)).otherwise(F.exp(log_top) * ratio)
 
 
-def certified(counts: DataFrame, labels: DataFrame, stratum: Column, alpha: float = ALPHA, delta: float = DELTA, prefix: str = "") -> DataFrame:
+def labels_needed(n_strata: Column, alpha: float = ALPHA, delta: float = DELTA) -> Column:
+    """Good labels without which no cutoff can be certified, even with no good document above it."""
+    return F.ceil(F.log(F.lit(delta) / (len(RULES) * n_strata)) / math.log1p(-alpha / len(RULES)))
+
+
+def certified(counts: DataFrame, labels: DataFrame, stratum: Column, alpha: float = ALPHA, delta: float = DELTA, prefix: str = "", pooled: bool = False) -> DataFrame:
     """One row for each tested stratum, with the certified cutoff of each rule (null: the rule rejects nothing).
 
+    With ``pooled``, strata with too few good labels for any cutoff are tested together, as one more stratum; each of them gets that
+    one's cutoffs. Which strata those are depends on their numbers of labels only. The bound then holds for the pool as a whole.
     ``counts`` has doc_id and the counts; ``labels`` has doc_id and quality (1 is good). Aggregated before any shuffle of
     the strata, so a stratum with most rows costs a partial row from each task.
     """
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_good")).distinct()
     holdout = counts.select(F.col("doc_id").alias("_id"), stratum.alias("stratum"), *[prefix + c for c in COUNTS]).join(good, F.col("_id") == F.col("_good"))
     cells = [(rule, c) for rule, (_, _, ladder) in RULES.items() for c in ladder]
-    sums = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(above(rule, F.lit(c), prefix), 1)).alias(f"{rule}_{c}") for rule, c in cells]).where(F.col("n") >= MIN_HOLDOUT)
-    sums = sums.withColumn("n_strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row for each stratum
+    sums = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(above(rule, F.lit(c), prefix), 1)).alias(f"{rule}_{c}") for rule, c in cells])
+    whole = Window.partitionBy(F.lit(0))  # a row for each stratum
+    if pooled:
+        needed = labels_needed(F.col("n_strata"), alpha, delta)
+        sums = sums.withColumn("n_strata", 1 + F.count(F.when(F.col("n") >= labels_needed(F.lit(1), alpha, delta), 1)).over(whole))
+        unit = Window.partitionBy(F.when(F.col("n") >= needed, F.col("stratum")))  # null: the pool
+        sums = sums.select("stratum", "n_strata", *[F.sum(c).over(unit).alias(c) for c in ("n", *[f"{rule}_{c}" for rule, c in cells])]).where(F.col("n") >= needed)
+    else:
+        sums = sums.where(F.col("n") >= MIN_HOLDOUT).withColumn("n_strata", F.count(F.lit(1)).over(whole))
     level = F.lit(delta) / (len(RULES) * F.col("n_strata"))
     lowest = [F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES]
     flat = sums.select("stratum", "n", "n_strata", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{c}").alias("k")) for rule, c in cells])))
@@ -169,14 +183,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", alpha:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns only. Texts and counts are written once.
+    """The rows of ``docs`` that the rules keep, with their own columns only. Thin strata are tested together. Texts and counts are written once.
 
     The columns of ``docs`` travel in one struct, so none of their names can clash.
     """
     stratum = F.coalesce(F.col("_q_doc.lang"), F.lit(""))
     packed = docs.select(F.struct(*docs.columns).alias("_q_doc"))
     counted = materialize(with_counts(packed, f"_q_doc.{text}"), "quality-documents")
-    cutoffs = materialize(certified(counted.withColumn("doc_id", F.col("_q_doc.doc_id")), labels, stratum), "quality-cutoffs")
+    cutoffs = materialize(certified(counted.withColumn("doc_id", F.col("_q_doc.doc_id")), labels, stratum, pooled=True), "quality-cutoffs")
     return judge(counted, cutoffs, stratum).where("kept").select("_q_doc.*")
 
 

@@ -1,0 +1,31 @@
+from pyspark.sql import functions as F
+
+from emberlog.llm import quality as Q
+
+COUNTS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaims long"
+
+
+def test_thin_strata_are_tested_together(spark):
+    sizes = {"en": 2000, "de": 507, "fr": 505, "es": 321}
+    rows, labels = [], []
+    for lang, n in sizes.items():
+        for quality, m, symbols in ((1, n, 0), (0, 20, 200)):
+            labels += [(len(rows) + i, quality) for i in range(m)]
+            rows += [(len(rows) + i, lang, 100, 500, symbols, 0, 0, 5, 5, 0) for i in range(m)]
+    counts, labels = spark.createDataFrame(rows, COUNTS), spark.createDataFrame(labels, "doc_id long, quality int")
+    cuts = Q.certified(counts, labels, F.col("lang"), pooled=True)
+    assert {r["stratum"]: (r["n_good"], r["cut_symbols"]) for r in cuts.collect()} == {"en": (2000, 10), "de": (1333, 10), "fr": (1333, 10), "es": (1333, 10)}
+    kept = Q.judge(counts, cuts, F.col("lang")).where("kept").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in kept} == sizes
+    # too few even together: nothing is certified for them
+    few = Q.certified(counts.where("lang != 'es'"), labels, F.col("lang"), pooled=True)
+    assert [r["stratum"] for r in few.collect()] == ["en"]
+
+
+def test_keep_good_pools(spark):
+    text = "one two three four five six seven eight nine ten " * 6
+    good = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "de" if i % 2 else "fr") for i in range(1300)]
+    bad = [(5000 + i, " ".join(f"w{i}y{j}###" for j in range(60)), "de") for i in range(3)]
+    docs = spark.createDataFrame(good + bad + [(9000, text, "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    assert {r["doc_id"] for r in Q.keep_good(docs, labels).select("doc_id").collect()} == {i for i, *_ in good}
