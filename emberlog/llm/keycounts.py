@@ -31,10 +31,18 @@ def sizes(docs: DataFrame, text: str, keys_per_byte: float) -> tuple[int, int]:
     return max(1, -(-total // BLOCK_BYTES)), max(1, int(total * keys_per_byte / BUCKET_KEYS) + 1)
 
 
+def edges(n_buckets: int) -> np.ndarray:
+    """The least key of each bucket but the first."""
+    return np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)
+
+
+def bucket_of(key: np.uint64, n_buckets: int) -> int:
+    return int(np.searchsorted(edges(n_buckets), key, side="right"))
+
+
 def ask(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``ASKED`` for a block's distinct sorted keys."""
-    edges = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)
-    cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    cut = np.concatenate([[0], np.searchsorted(keys, edges(n_buckets)), [len(keys)]])
     full = np.flatnonzero(np.diff(cut))
     spans = [(int(cut[b]), int(cut[b + 1])) for b in full]
     yield pa.RecordBatch.from_pydict(
@@ -42,17 +50,44 @@ def ask(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, n_buckets:
     )
 
 
+def no_rows() -> pa.Table:
+    return pa.Table.from_pydict({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+
+
 def bin_of(counts: np.ndarray) -> np.ndarray:
     """Each count up to 32 has a bin; above, eight bins share a doubling."""
     return np.where(counts <= 32, counts, 32 + np.ceil(8 * np.log2(np.maximum(counts, 1) / 32))).astype(np.int64)
 
 
+def ask_nothing(block: int, kind: int, counts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row of ``ASKED`` that adds keys which no other block can hold to the statistics: how many have each count. The kind is negative."""
+    values, types = np.unique(counts, return_counts=True)
+    yield pa.RecordBatch.from_pydict(
+        {"block": pa.array([block], pa.int64()), "bucket": pa.array([block % n_buckets], pa.int32()), "kind": pa.array([-kind], pa.int32()), "keys": pa.array([pack_keys(values.astype(np.uint64))], pa.binary()), "counts": pa.array([pack_counts(types)], pa.binary())}
+    )
+
+
+def _binned(bucket: int, kind: int, counts: np.ndarray, n_types: np.ndarray) -> pa.RecordBatch:
+    """Statistics rows for ``n_types`` keys of each count."""
+    bins = bin_of(counts)
+    types, sums = np.bincount(bins, n_types).astype(np.int64), np.bincount(bins, counts * n_types).astype(np.int64)
+    full = np.flatnonzero(types)
+    n = len(full)
+    return pa.RecordBatch.from_pydict(
+        {"block": pa.array([-1] * n, pa.int64()), "bucket": pa.array([bucket] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "counts": pa.nulls(n, pa.binary()), "bin": pa.array(full, pa.int32()), "n_types": pa.array(types[full], pa.int64()), "n_sum": pa.array(sums[full], pa.int64())}
+    )
+
+
 def add_up(table: pa.Table, statistics: bool) -> Iterator[pa.RecordBatch]:
     """The answers of one bucket and, with ``statistics``, how many keys have a count of each bin (block -1)."""
     kinds, blocks, bucket = table["kind"].to_numpy(), table["block"].to_numpy(), table["bucket"][0].as_py()
     raw_keys, raw_counts = table["keys"], table["counts"]
     for kind in np.unique(kinds):
         rows = np.flatnonzero(kinds == kind)
+        if kind < 0:
+            for i in rows if statistics else ():
+                yield _binned(bucket, -kind, unpack_keys(raw_keys[int(i)].as_py()).astype(np.int64), unpack_counts(raw_counts[int(i)].as_py()))
+            continue
         parts = [unpack_keys(raw_keys[int(i)].as_py()) for i in rows]
         length = np.array([len(p) for p in parts])
         own = np.concatenate([unpack_counts(raw_counts[int(i)].as_py()) for i in rows])
@@ -70,13 +105,7 @@ def add_up(table: pa.Table, statistics: bool) -> Iterator[pa.RecordBatch]:
             {"block": pa.array(blocks[rows], pa.int64()), "bucket": pa.array([bucket] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "counts": pa.array([pack_counts(answer[e - k : e]) for e, k in zip(ends, length)], pa.binary()), "bin": pa.nulls(n, pa.int32()), "n_types": pa.nulls(n, pa.int64()), "n_sum": pa.nulls(n, pa.int64())}
         )
         if statistics:
-            bins = bin_of(totals)
-            types, sums = np.bincount(bins), np.bincount(bins, totals).astype(np.int64)
-            full = np.flatnonzero(types)
-            n = len(full)
-            yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([-1] * n, pa.int64()), "bucket": pa.array([bucket] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "counts": pa.nulls(n, pa.binary()), "bin": pa.array(full, pa.int32()), "n_types": pa.array(types[full], pa.int64()), "n_sum": pa.array(sums[full], pa.int64())}
-            )
+            yield _binned(bucket, kind, totals, np.ones(len(totals), np.int64))
 
 
 def answered(asked: DataFrame, statistics: bool = False) -> DataFrame:

@@ -14,7 +14,8 @@ to right: from the current state take the word's arc or follow failure arcs unti
 lanes, many at a time; a lane that starts within a text starts in the state that the words before it lead to.
 
 Nothing holds the whole model. Each block of documents gets the counts of exactly those n-grams that occur in it (see ``keycounts``), which
-are all the arcs and failure arcs its texts can take; counts are taken over all training texts, without pruning.
+are all the arcs and failure arcs its texts can take. Longer n-grams are asked for in a second round, and only where both shorter parts
+occur in another block; for all others the block's own count is the whole count. Counts are taken over all training texts, without pruning.
 
 Defined cases: a null or empty text is the end token alone; no training text leaves p(unknown) = 1 and score 0; repeated rows count and
 score as often as they occur; long texts are read like any other; other columns are not read.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from emberlog.llm import keycounts
 from emberlog.llm.textblock import combine, large, row_ranges, words_of
 
-ORDER = 2
+ORDER = 3
 START, END = np.uint64(0xA5A5F00DBEEF0001), np.uint64(0x5A5A0FF1CEC0FFEE)
 LANE = 64
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -63,6 +64,20 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, index
 
 
+def elsewhere(keys: list[np.ndarray], own: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bigrams: np.ndarray) -> list[np.ndarray]:
+    """For each order from 3 on, which distinct keys of a block a training text of another block may hold: those whose two shorter parts it may hold.
+
+    All other keys have the block's own counts in the whole corpus. ``bigrams`` has the corpus-wide counts of the distinct bigrams.
+    """
+    out, at = [], (bigrams > own[1][2])[own[1][1]]
+    for key, (found, index, _) in zip(keys[2:], own[2:]):
+        at = at & np.concatenate([[False], at[:-1]]) & (key != 0)
+        sent = np.zeros(len(found), bool)
+        sent[index[at]] = True
+        out.append(sent)
+    return out
+
+
 def matched_k(bins: dict[int, tuple[int, int]], once: int) -> float:
     """K with sum over contexts of c K / (c + K) = ``once``; ``bins`` has (contexts, sum of counts) by bin."""
     cells = [(n, s / n) for b, (n, s) in bins.items() if b > 0 and n]
@@ -139,25 +154,44 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", order: int = OR
     n_blocks, n_buckets = keycounts.sizes(rows, "text", 0.2 * order)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("long"))
 
-    def ask(table: pa.Table) -> pa.Table:
+    def own_counts(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """``token_keys`` and, for each order, the distinct keys, each token's index among them and their counts in training texts of the block."""
         keys, first = token_keys(large(table["text"]), order)
         train = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        block, out = table["block"][0].as_py(), []
-        for kind, key in enumerate(keys, 1):
+        own = []
+        for key in keys:
             found, index = distinct(key)
-            counts = np.bincount(index, train & (key != 0), len(found)).astype(np.int64)
+            own.append((found, index, np.bincount(index, train & (key != 0), len(found)).astype(np.int64)))
+        return keys, first, own
+
+    def ask(table: pa.Table) -> pa.Table:
+        block, out = table["block"][0].as_py(), []
+        for kind, (found, _, counts) in enumerate(own_counts(table)[2][:2], 1):
             out += keycounts.ask(block, kind, found, counts, n_buckets)
         return pa.Table.from_batches(out)
 
+    def ask_longer(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return keycounts.no_rows()
+        block, out = table["block"][0].as_py(), []
+        keys, _, own = own_counts(table)
+        for kind, sent in enumerate(elsewhere(keys, own, keycounts.answer_for(answers, 2)), 3):
+            found, _, counts = own[kind - 1]
+            out += keycounts.ask(block, kind, found[sent], counts[sent], n_buckets)
+            out += keycounts.ask_nothing(block, kind, counts[~sent], n_buckets)
+        return pa.Table.from_batches(out)
+
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_pydict({f.split()[0]: [] for f in SCHEMA.split(", ")}, schema=_arrow_schema())
-        keys, first = token_keys(large(table["text"]), order)
-        model = Model([(s["kind"], s["bin"], s["n_types"], s["n_sum"]) for s in answers["statistics"][0].as_py()], order)
-        counts = []
-        for kind, key in enumerate(keys, 1):
-            index = distinct(key)[1]
-            counts.append(keycounts.answer_for(answers, kind)[index])
+        keys, first, own = own_counts(table)
+        model = Model([(s["kind"], s["bin"], s["n_types"], s["n_sum"]) for s in answers["statistics"].drop_null()[0].as_py()], order)
+        counts = [keycounts.answer_for(answers, kind) for kind in range(1, min(order, 2) + 1)]
+        for kind, sent in enumerate(elsewhere(keys, own, counts[1]) if order > 2 else (), 3):
+            total = own[kind - 1][2]
+            total[sent] = keycounts.answer_for(answers, kind)
+            counts.append(total)
+        counts = [c[index] for c, (_, index, _) in zip(counts, own)]
         starts = first[:-1]
         n_train = int(counts[0][first[1] - 1])  # every training text has one end token
         token = model.traverse(*model.arcs(counts, first, n_train), first)
@@ -177,11 +211,15 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", order: int = OR
 
     asked = rows.groupBy("block").applyInArrow(ask, keycounts.ASKED)
     answers = keycounts.answered(asked, statistics=True)
+    if order > 2:
+        known = answers.where((F.col("block") >= 0) & (F.col("kind") == 2)).select("block", "bucket", "kind", "counts")
+        longer = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_longer, keycounts.ASKED)
+        answers = answers.unionByName(keycounts.answered(longer, statistics=True))
     bins = answers.where(F.col("block") == -1).groupBy("kind", "bin").agg(F.sum("n_types").alias("n_types"), F.sum("n_sum").alias("n_sum"))
-    # one list of a few hundred bins, whatever the input, beside each kind of answer
+    # one list of a few hundred bins, whatever the input, beside the answer with the end token, which every block has
     statistics = bins.agg(F.collect_list(F.struct("kind", "bin", "n_types", "n_sum")).alias("statistics"))
-    statistics = statistics.select("statistics", F.explode(F.array(*[F.lit(k) for k in range(1, order + 1)])).alias("kind"))
-    answers = answers.where(F.col("block") >= 0).select("block", "bucket", "kind", "counts").join(F.broadcast(statistics), "kind")
+    home = (F.col("kind") == 1) & (F.col("bucket") == keycounts.bucket_of(END, n_buckets))
+    answers = answers.where(F.col("block") >= 0).select("block", "bucket", "kind", "counts").crossJoin(F.broadcast(statistics)).withColumn("statistics", F.when(home, F.col("statistics")))
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, SCHEMA)
 
 

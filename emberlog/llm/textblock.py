@@ -145,21 +145,42 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def _pack_planes(planes: np.ndarray) -> bytes:
+    """Byte planes, each compressed on its own where that is shorter (an entropy coder needs a table for each); a plane of zeros is left out."""
+    parts = []
+    for plane in planes:
+        raw = plane.tobytes() if plane.any() else b""
+        small = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+        parts.append(small if len(small) < len(raw) else raw)
+    head = np.array([planes.shape[1], *map(len, parts)], "<u4")
+    return b"".join([head.tobytes(), *parts])
+
+
+def _unpack_planes(raw: bytes, k: int) -> np.ndarray:
+    n, *lengths = np.frombuffer(raw, "<u4", k + 1).tolist() if raw else [0] * (k + 1)
+    out, at = np.zeros((k, n), np.uint8), 4 * (k + 1)
+    for plane, length in zip(out, lengths):
+        if length:
+            own = raw[at : at + length]
+            plane[:] = np.frombuffer(own if length == n else pa.decompress(own, n, codec="zstd"), np.uint8)
+        at += length
+    return out
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences in byte planes, which a shuffle's compression shortens."""
+    """Sorted 64-bit keys as differences in byte planes."""
     gaps = np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys
-    return np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return _pack_planes(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(_unpack_planes(raw, 8).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
     """Counts below 2**32 as byte planes."""
-    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return _pack_planes(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(_unpack_planes(raw, 4).T).view("<u4").ravel().astype(np.int64)
