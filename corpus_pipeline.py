@@ -17,6 +17,8 @@ from emberlog.llm.runtime import materialize, ship, tokenizer_path
 
 #: A document stays if its language is told with at least this probability.
 SURE = 0.5
+#: Documents are near copies if their sets of so many words in a row are alike to this percentage.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked documents."""
     ship(spark)
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,14 +177,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = SHINGLE, pe
     return components(docs, text, k, percent).select("doc_id", "n_shingles", "component_id", "class_size")
 
 
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of the document with the smallest id of each component; of equal rows one stays.
 
     A document is known by its id and the hash of its text, so a repeated id with another text is another document.
     """
     own = docs.columns
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    best = components(docs, text).groupBy("component").agg(F.min_by(F.struct("doc_id", "mark"), order).alias("b"))
+    best = components(docs, text, k, percent).groupBy("component").agg(F.min_by(F.struct("doc_id", "mark"), order).alias("b"))
     best = best.select(F.col("b.doc_id").alias("_b_id"), F.col("b.mark").alias("_b_mark"))
     marked = docs.withColumn("_j_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_b_id")) & (F.col("_j_mark") == F.col("_b_mark")), "left_semi")
