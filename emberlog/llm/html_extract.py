@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is read once into its leaf blocks (runs of text between block-level tags) in page order. Each block becomes a vector: the
-tags, classes and ids on its path and the words it begins with, hashed into a fixed number of places, and a few ratios. A bidirectional LSTM
+tags, classes and ids on its path and all its words, hashed into a fixed number of places, and a few ratios. A bidirectional LSTM
 in numpy reads a page's whole sequence of vectors, so every block is labelled in the light of all that stand before and after it. Blocks
 labelled as main text are joined.
 
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 PATH_PLACES, WORD_PLACES, RATIOS = 192, 96, 6
 HIDDEN, PAGES, EPOCHS, BATCH, RATE, SEED = 24, 1000, 10, 24, 0.008, 11
-#: Words of a block that its vector holds. Its text is whole whatever that number.
-WORDS = 16
 INPUTS = PATH_PLACES + WORD_PLACES + RATIOS
 
 #: HTML's block-level elements, and those whose content is never text of the page.
@@ -147,21 +145,24 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
-    """A matrix for each page, a row for each block."""
+    """A matrix for each page, a row for each block. Counts of words have length one in each row that has words."""
     places: list[int] = []
+    words: list[int] = []
     n_path, n_words, ratios = [], [], []
     for b in (b for page in pages for b in page):
-        words = {_WORD_PLACES[w.strip(_POINTS)] for w in b.text[:200].lower().split()[:WORDS]}
+        own = [_WORD_PLACES[w.strip(_POINTS)] for w in b.text.lower().split()]
         places += b.path
-        places += words
+        words += own
         n_path.append(len(b.path))
-        n_words.append(len(words))
+        n_words.append(len(own))
         ratios.append((min(math.log1p(b.size) / 8, 2.0), b.linked / max(1, b.size), b.tag[:1] == "h" and len(b.tag) == 2, b.tag == "li", min(b.depth, 12) / 12, b.text[-1] in ".!?"))
-    out = np.zeros((len(n_path), INPUTS), np.float32)
-    if n_path:
-        held = np.stack([n_path, n_words], axis=1)
-        weight = np.stack([np.full(len(held), 2.0), np.maximum(held[:, 1], 1) ** -0.5], axis=1)
-        out[np.repeat(np.arange(len(held)), held.sum(axis=1)), places] = np.repeat(weight.ravel(), held.ravel())
+    n = len(n_path)
+    out = np.zeros((n, INPUTS), np.float32)
+    if n:
+        out[np.repeat(np.arange(n), n_path), places] = 2.0
+        at = np.repeat(np.arange(n) * WORD_PLACES, n_words) + np.array(words, np.int64) - PATH_PLACES
+        held = np.bincount(at, minlength=n * WORD_PLACES).reshape(n, WORD_PLACES)
+        out[:, PATH_PLACES:-RATIOS] = held / np.maximum(np.sqrt((held * held).sum(axis=1, keepdims=True)), 1)
         out[:, -RATIOS:] = ratios
     ends = np.cumsum([len(page) for page in pages])
     return [out[e - len(page) : e] for e, page in zip(ends, pages)]
