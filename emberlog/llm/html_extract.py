@@ -10,7 +10,7 @@ usual containers among menus, headers, footers, sidebars, notices, adverts, form
 are needed for training, and nothing is fetched.
 
 Defined cases: a null, empty or textless page gives the empty text; a page cut off in the middle of a tag or reference gives what stands
-before it; unclosed elements end where HTML ends them; long pages are read whole; repeated rows give repeated results; the columns page_id
+before it; the inside of a closed svg is no text, nor is that of ``HIDDEN_TAGS``; unclosed elements end where HTML ends them; long pages are read whole; repeated rows give repeated results; the columns page_id
 and url are handed on, others are not read.
 """
 
@@ -33,16 +33,17 @@ PATH_PLACES, WORD_PLACES, RATIOS = 192, 96, 6
 HIDDEN, PAGES, EPOCHS, BATCH, RATE, SEED = 24, 1000, 10, 24, 0.008, 11
 INPUTS = PATH_PLACES + WORD_PLACES + RATIOS
 
-#: HTML's block-level elements, and those whose content is never text of the page.
+#: HTML's block-level elements, and those whose content is never text of the page, up to the page's end if need be.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = "script|style|noscript|template|svg|iframe|object|math|canvas|textarea"
+HIDDEN_TAGS = "script|style|template|iframe|textarea"
 #: An element of the first kind ends an open one of the second kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + HIDDEN_TAGS + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
+_SVG_END = re.compile("</svg", re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 
@@ -87,6 +88,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[int, ...]]] = []
     now: Block | None = None
     links = heads = 0
+    drawing, last_drawing = False, max((m.start() for m in _SVG_END.finditer(page)), default=-1)
 
     def pop_to(i: int) -> None:
         nonlocal links, heads
@@ -110,7 +112,8 @@ def blocks_of(page: str) -> list[Block]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        text(at, m.start())
+        if not drawing:
+            text(at, m.start())
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -118,6 +121,16 @@ def blocks_of(page: str) -> list[Block]:
                 now.parts.append(" ")
             continue
         tag = tag.lower()
+        if tag == "svg":
+            # an element without a content or an end holds no text; another's content is a drawing up to its end or HTML's next block
+            drawing = not m["end"] and not m[0].endswith("/>") and m.start() < last_drawing
+            if now is not None:
+                now.parts.append(" ")
+            continue
+        if drawing:
+            if m["end"] or tag not in BLOCK_TAGS or tag == "title":
+                continue
+            drawing = False
         if m["end"]:
             if tag in BLOCK_TAGS:
                 now = None
@@ -140,7 +153,8 @@ def blocks_of(page: str) -> list[Block]:
             stack.append((tag, _path_places(stack[-1][1] if stack else (), tag, m["attrs"])))
             links += tag == "a"
             heads += tag == "head" or tag == "title"
-    text(at, len(page))
+    if not drawing:
+        text(at, len(page))
     return [b for b in out if b.close()]
 
 
