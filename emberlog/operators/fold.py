@@ -35,6 +35,11 @@ def merge_runs(runs: Sequence[DataFrame]) -> DataFrame:
     return newest_wins(reduce(lambda a, b: a.unionByName(b), tagged), F.col("prec")).drop("prec")
 
 
+def merge_tagged(entries: DataFrame, *newest_first: Column) -> DataFrame:
+    """The same from one DataFrame with a column ``prec`` (0 the newest run), folded or not: one scan and one exchange for all runs."""
+    return newest_wins(entries, *(newest_first or (F.col("prec"),)), F.col("seq").desc()).drop("prec")
+
+
 def compacted(runs: Sequence[DataFrame], final: bool) -> DataFrame:
     """The merge of ``runs``, newest first; tombstones go only if nothing older lies below."""
     out = merge_runs(runs)
@@ -64,9 +69,12 @@ def as_of(entries: DataFrame, before: int | Column) -> DataFrame:
 
 
 def shadowed_by_deletes(entries: DataFrame) -> DataFrame:
-    """Versions that a later delete hides."""
-    dead = newest_wins(entries).where("deleted").select("key", F.col("seq").alias("_at"))
-    return entries.join(dead, "key").where((F.col("seq") < F.col("_at")) & ~F.col("deleted")).drop("_at")
+    """key and n_shadowed: how many versions the delete that a key ends with hides; keys that end otherwise have no row.
+
+    The last entry has the highest ``seq``, so all versions of the key lie before it. Aggregated before the shuffle.
+    """
+    each = entries.groupBy("key").agg(F.max_by("deleted", "seq").alias("_gone"), F.count(F.when(~F.col("deleted"), 1)).alias("n_shadowed"))
+    return each.where("_gone").select("key", "n_shadowed")
 
 
 def run_statistics(runs: DataFrame, *by: str) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import buffered_size, entry_size, range_may_hold_key, range_may_hold_prefix
-from emberlog.operators import as_of, compacted, get_many, newest_wins, run_statistics, scan, shadowed_by_deletes
+from emberlog.operators import as_of, get_many, merge_tagged, newest_wins, run_statistics, scan, shadowed_by_deletes, visible
 
 Query = Callable[[SparkSession, str], DataFrame]
 PREFIX, KEY = "/user/0000000001", "/user/00000000004/03"
@@ -26,10 +26,16 @@ def kvlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(key.alias("key"), F.when(gone, F.lit(None)).otherwise(F.col("props")).alias("value"), gone.alias("deleted"), F.col("event_id").alias("seq"))
 
 
+def cut_points(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
+    """Sequence numbers at which the middle and the newest source begin; subqueries of the plan, not jobs of their own."""
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id").alias("m"))
+    at = lambda share: last.select(F.floor(F.col("m") * share).alias("at")).scalar()
+    return at(0.6), at(0.9)
+
+
 def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = kvlog(spark, sf_dir)
-    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] or 0
-    return log.withColumn("prec", F.when(F.col("seq") < int(last * 0.6), 2).when(F.col("seq") < int(last * 0.9), 1).otherwise(0))
+    middle, newest = cut_points(spark, sf_dir)
+    return kvlog(spark, sf_dir).withColumn("prec", F.when(F.col("seq") < middle, 2).when(F.col("seq") < newest, 1).otherwise(0))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +44,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_wins(first.withColumn("_k", F.struct("prec", "key")), F.col("seq").desc(), key="_k").drop("_k")
 
 
-def _run(spark: SparkSession, sf_dir: str, *precs: int) -> list[DataFrame]:
-    return [newest_wins(tiered(spark, sf_dir).where(F.col("prec") == p)).drop("prec") for p in precs]
+def _older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two older sources."""
+    return tiered(spark, sf_dir).where(F.col("prec") > 0)
 
 
 def kv_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,23 +71,23 @@ def kv_get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_delete_shadowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shadowed_by_deletes(kvlog(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_shadowed"))
+    return shadowed_by_deletes(kvlog(spark, sf_dir)).agg(F.coalesce(F.sum("n_shadowed"), F.lit(0)).alias("n_shadowed"))
 
 
 def kv_compact_keep_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compacted(_run(spark, sf_dir, 1, 2), final=False).select("key", "value", "deleted")
+    return merge_tagged(_older(spark, sf_dir)).select("key", "value", "deleted")
 
 
 def kv_compact_final_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compacted(_run(spark, sf_dir, 1, 2), final=True).select("key", "value")
+    return visible(merge_tagged(_older(spark, sf_dir))).select("key", "value")
 
 
 def kv_compact_reversed_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compacted(_run(spark, sf_dir, 2, 1), final=False).select("key", "value", "deleted")
+    return merge_tagged(_older(spark, sf_dir), F.col("prec").desc()).select("key", "value", "deleted")
 
 
 def kv_tiered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compacted(_run(spark, sf_dir, 0, 1, 2), final=True).select("key", "value")
+    return visible(merge_tagged(tiered(spark, sf_dir))).select("key", "value")
 
 
 def kv_run_key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +111,7 @@ def kv_prune_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_snapshot_at_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] or 0
-    return as_of(kvlog(spark, sf_dir), int(last * 0.9)).where(~F.col("deleted")).select("key", "value")
+    return as_of(kvlog(spark, sf_dir), cut_points(spark, sf_dir)[1]).where(~F.col("deleted")).select("key", "value")
 
 
 QUERIES: dict[str, Query] = {

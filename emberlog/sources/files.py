@@ -7,6 +7,17 @@ from pyspark.sql import SparkSession
 from emberlog.errors import StoreIOError
 
 
+def open_uri(uri: str, mode: str):
+    """A file of any file system that pyarrow knows, on an executor: ``w`` makes its folders."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(uri)
+    if mode == "w":
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        return system.open_output_stream(inner)
+    return system.open_input_stream(inner)
+
+
 class Files:
     """Operations under one root. Paths are relative to it."""
 

@@ -13,15 +13,17 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.errors import LogError, ManifestError, SegmentError
 from emberlog.operators.fold import newest_wins
-from emberlog.sources.files import Files
+from emberlog.sources.files import Files, open_uri
 
 Entry = tuple[str, bytes | None]
 _U32 = struct.Struct("<I")
@@ -117,6 +119,70 @@ def log_entries(raw: bytes) -> Iterator[Entry]:
         at = end
 
 
+#: Bytes of entries that a table written here holds.
+TABLE_BYTES = 64 << 20
+_TABLES = "name string, smallest string, largest string"
+
+
+def write_tables(run: DataFrame, files: Files, n_ranges: int, table_size: int = TABLE_BYTES) -> list[dict]:
+    """Write a folded run (key, value, deleted) as tables with disjoint key ranges; the manifest's entry of each, by key.
+
+    A task sorts one key range and writes tables of about ``table_size`` bytes, holding one at a time.
+    """
+    root = files.root
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Entry] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, size
+            name = f"{uuid.uuid4().hex}.sst"
+            with open_uri(f"{root}/{name}", "w") as f:
+                f.write(table_bytes(held))
+            out = pa.RecordBatch.from_pydict({"name": [name], "smallest": [held[0][0]], "largest": [held[-1][0]]})
+            held, size = [], 0
+            return out
+
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((key, value))
+                size += 9 + len(key) + len(value or b"")
+                if size >= table_size:
+                    yield close()
+        if held:
+            yield close()
+
+    rows = run.select("key", F.when(~F.col("deleted"), F.col("value").cast("binary")).alias("value"))
+    dealt = rows.repartitionByRange(max(1, n_ranges), "key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(write, _TABLES).collect()
+    return [{"key_range": {"smallest": t["smallest"], "largest": t["largest"]}, "sstable": t["name"]} for t in sorted(found, key=lambda t: t["smallest"])]
+
+
+def write_database(runs: list[DataFrame], root: str, n_ranges: int = 1, table_size: int = TABLE_BYTES) -> None:
+    """Write a whole database from folded runs, newest first: run n becomes level n. ``root`` must hold none.
+
+    Tables first, then the manifest, then ``CURRENT``, so a failure before the end leaves no database.
+    """
+    files = Files(runs[0].sparkSession, root)
+    if files.exists("CURRENT"):
+        raise ManifestError(f"{root} holds a database")
+    files.make_dirs()
+    ops: list[dict] = []
+    for level in range(len(runs) - 1, -1, -1):
+        tables = write_tables(runs[level], files, n_ranges, table_size)
+        # a level is reached through all levels above it, which are empty so far
+        ops += [{"MergeLevel": {"to_level": to, "sstables": [[t["key_range"], t["sstable"]] for t in tables]}} for to in range(1, level + 1)]
+        if level == 0:
+            for i, t in enumerate(tables):
+                ops += [{"NewLog": {"filename": f"LOG.{i}"}}, {"AddSSTable": t}]
+            log = f"LOG.{len(tables)}"
+            files.create(log, b"")
+            ops.append({"NewLog": {"filename": log}})
+    files.create("MANIFEST-0", "\n".join(json.dumps(o) for o in ops).encode())
+    files.replace("CURRENT", b"MANIFEST-0")
+
+
 def live_files(files: Files) -> tuple[list[list[str]], list[str]]:
     """Tables of each level (level 0: oldest first) and logs (oldest first), by replaying the manifest."""
     if not files.exists("CURRENT"):

@@ -4,8 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from emberlog.queries import ORACLE_SQL, QUERIES
+from emberlog import queries as kv
+from emberlog import store_queries
 
+
+QUERIES, ORACLE_SQL = kv.QUERIES | store_queries.QUERIES, kv.ORACLE_SQL | store_queries.ORACLE_SQL_STORE
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 

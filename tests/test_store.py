@@ -5,7 +5,8 @@ import pytest
 from emberlog.config import StoreConfig
 from emberlog.errors import InvalidRootPath, LockedError, LogError, ManifestError, SegmentPathError, StoreError
 from emberlog.plans.manifest import Segment, State, parse
-from emberlog.sources.wal import LogWriter, replay
+from emberlog.sources import wal
+from emberlog.sources.files import Files
 from emberlog.store import KVStore
 from emberlog.streaming import ingest
 
@@ -14,32 +15,33 @@ def pairs(df):
     return [(r["key"], bytes(r["value"])) for r in df.collect()]
 
 
-def test_put_get_delete_scan(spark, tmp_path):
-    with KVStore.open(spark, str(tmp_path / "s")) as s:
-        for name in ("anna", "victor", "cleo"):
-            s.put(f"/user/name/{name}", name)
-        s.put("/abc", "abc")
-        s.put("/xyz", b"xyz")
-        assert s.get("/abc") == b"abc" and s.get("/nope") is None
-        s.delete("/nope")
-        assert [k for k, _ in pairs(s.scan("/user/"))] == ["/user/name/anna", "/user/name/cleo", "/user/name/victor"]
-        assert next(s.iterate("/user/")) == ("/user/name/anna", b"anna")
-        s.freeze()
-        s.delete("/user/name/cleo")
-        s.put("/user/name/anna", "anna2")
-        assert pairs(s.scan("/user/")) == [("/user/name/anna", b"anna2"), ("/user/name/victor", b"victor")]
-        s.freeze()
-        before = s.scan("/user/")
-        s.put("/user/name/anna", "anna3")
-        s.put("/user/name/cleo", b"")
-        s.delete("/user/name/victor")
-        assert pairs(s.scan("/user/")) == [("/user/name/anna", b"anna3"), ("/user/name/cleo", b"")]
-        assert pairs(before) == [("/user/name/anna", b"anna2"), ("/user/name/victor", b"victor")]
-        s.flush()
-        assert len(s.levels()[0]) == 2
-        assert pairs(s.scan("/user/")) == [("/user/name/anna", b"anna3"), ("/user/name/cleo", b"")]
-        assert s.get("/user/name/victor") is None and s.get("/user/name/cleo") == b"" and s.get("/xyz") == b"xyz"
-        assert pairs(s.scan("/items/")) == [] and pairs(s.scan("/user/victor_")) == []
+def test_random_operations_match_a_dict(spark, tmp_path):
+    """Any order of puts, deletes, freezes, flushes and merges reads like a dict; scans are snapshots."""
+    r, model = random.Random(31), {}
+    words = ["", "p", "pq", "pq/1", "pq_1", "p%", "r", "r/s/t", "é", "😀"]
+    with KVStore.open(spark, str(tmp_path / "s"), StoreConfig(max_frozen_memtables=50)) as s:
+        for i in range(60):
+            key, act = r.choice(words), r.random()
+            if act < 0.5:
+                model[key] = r.choice([b"", bytes([i]), b"x" * i])
+                s.put(key, model[key])
+            elif act < 0.75:
+                s.delete(key)
+                model.pop(key, None)
+            elif act < 0.9:
+                s.freeze()
+            elif act < 0.96:
+                s.flush()
+            else:
+                s.flush()
+                s.compact(0)
+            assert s.get(key) == model.get(key)
+        before, old = s.scan(), sorted(model.items(), key=lambda e: e[0].encode())
+        assert pairs(before) == old and list(s.iterate()) == old and next(s.iterate()) == old[0]
+        for prefix in ("p", "pq/", "pq_", "p%", "nothing"):
+            assert pairs(s.scan(prefix)) == [e for e in old if e[0].startswith(prefix)]
+        s.put_many([("later", b"1"), (old[0][0], None)])
+        assert pairs(before) == old and s.get("later") == b"1" and s.get(old[0][0]) is None
     with pytest.raises(StoreError):
         s.put("a", "b")
 
@@ -122,13 +124,42 @@ def test_tombstones_go_at_the_last_level_only(spark, tmp_path):
 def test_put_all_versions_and_large_values(spark, tmp_path):
     with KVStore.open(spark, str(tmp_path / "s")) as s:
         s.put("k0", "buffered")
-        s.put_all(spark.createDataFrame([("k0", "run"), ("k1", "é" * 5000), (None, "x"), ("", "empty key")], "key string, value string"))
+        s.put_all(spark.createDataFrame([("k0", "run"), ("k1", "é" * 5000), ("", "empty key")], "key string, value string"))
         version = s.version
         s.put_all(spark.createDataFrame([("k1", "a", 1), ("k1", "b", 2)], "key string, value string, n int"), order_by=__import__("pyspark").sql.functions.col("n"))
         assert dict(pairs(s.scan())) == {"k0": b"run", "k1": b"b", "": b"empty key"}
         assert dict(pairs(s.scan(version=version)))["k1"] == ("é" * 5000).encode()
         got = {r["key"]: r["found"] for r in s.get_many(spark.createDataFrame([("k1",), ("zz",)], "key string")).collect()}
         assert got == {"k1": True, "zz": False}
+        for bad in ([(None, "x"), ("k9", "y")], [(None, None)]):
+            with pytest.raises(StoreError):
+                s.put_all(spark.createDataFrame(bad, "key string, value string"))
+        assert s.get("k9") is None and len(pairs(s.scan())) == 3
+
+
+def test_a_version_holds_what_was_put_before(spark, tmp_path):
+    with KVStore.open(spark, str(tmp_path / "s")) as s:
+        s.put("a", "1")
+        first = s.version
+        s.put("a", "2")
+        s.delete("b")
+        assert pairs(s.scan(version=first)) == [("a", b"1")] and pairs(s.scan()) == [("a", b"2")]
+        assert pairs(s.scan(version=s.version)) == [("a", b"2")]
+
+
+def test_get_many_reads_only_files_that_may_hold_a_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("emberlog.store.FEW_KEYS", 3)
+    with KVStore.open(spark, str(tmp_path / "s")) as s:
+        for c in "abc":
+            s.put_all(spark.createDataFrame([(f"{c}{i}", f"{c}{i}") for i in range(5)], "key string, value string"))
+        s.put("b1", "new")
+        one = s.get_many(spark.createDataFrame([("b1",), ("b1",)], "key string"))
+        assert len(one.inputFiles()) == 1 and [(r["key"], bytes(r["value"]), r["found"]) for r in one.collect()] == [("b1", b"new", True)]
+        many = s.get_many(spark.createDataFrame([(k,) for k in ("b0", "b1", "c1", "c9", None, "zz")], "key string"))
+        assert len(many.inputFiles()) == 2
+        assert {r["key"]: r["value"] and bytes(r["value"]) for r in many.collect()} == {"b0": b"b0", "b1": b"new", "c1": b"c1", "c9": None, None: None, "zz": None}
+        none = s.get_many(spark.createDataFrame([], "key string"))
+        assert none.collect() == [] and none.inputFiles() == []
 
 
 def test_lock_and_bad_roots(spark, tmp_path):
@@ -158,45 +189,119 @@ def test_crash_between_data_and_commit_loses_nothing(spark, tmp_path, monkeypatc
     s._log.close()
     with KVStore.open(spark, root, break_lock=True) as t:
         assert t.get("a") == b"1" and t.levels() == [[]]
-        assert t.vacuum() == 1  # the orphan
+        assert t.vacuum() >= 1  # the orphan
+
+
+CHANGES = [("north", b"\0\1", 1), ("ünïcode", b"", 2), ("", None, 3), ("south", b"w" * 300, 9)]
+
+
+def test_log_drops_a_torn_tail_only(tmp_path):
+    raw, ends = wal.pack(CHANGES), [len(wal.pack(CHANGES[:n])) for n in range(len(CHANGES) + 1)]
+    assert list(wal.unpack(raw, "x")) == CHANGES
+    for cut in range(len(raw)):
+        whole = sum(e <= cut for e in ends) - 1
+        assert list(wal.unpack(raw[:cut], "x")) == CHANGES[:whole]
+        if cut > ends[-2]:  # what was not written may be there as zeros
+            assert list(wal.unpack(raw[:cut] + bytes(len(raw) - cut), "x"))[:3] == CHANGES[:3]
+        if cut not in ends:
+            with pytest.raises(LogError):
+                list(wal.unpack(raw[:cut], "x", last=False))
+
 
+def test_log_reports_damage(tmp_path):
+    raw = wal.pack(CHANGES)
+    for i in range(len(wal.pack(CHANGES[:1]))):  # any byte of the first record, its length too
+        for bit in (1, 128):
+            with pytest.raises(LogError):
+                list(wal.unpack(raw[:i] + bytes([raw[i] ^ bit]) + raw[i + 1 :], "x"))
 
-def test_log_torn_tail_and_damage(tmp_path):
-    w = LogWriter(tmp_path / "LOG-1")
-    w.append([("key1", b"val1", 1), ("key2", b"val2", 2)])
-    w.append([("key3", None, 3)])
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_logs(spark, tmp_path, shared):
+    logs = wal.SharedLogs(Files(spark, str(tmp_path))) if shared else wal.LocalLogs(tmp_path / "wal")
+    w = logs.create("LOG-a")
+    w.append(CHANGES[:1])
+    w.append(CHANGES[1:])
     w.close()
-    raw = (tmp_path / "LOG-1").read_bytes()
-    assert list(replay(tmp_path / "LOG-1")) == [("key1", b"val1", 1), ("key2", b"val2", 2), ("key3", None, 3)]
-    for cut in (1, 5, 20):
-        (tmp_path / "LOG-2").write_bytes(raw[:-cut])
-        assert [k for k, _, _ in replay(tmp_path / "LOG-2")] == ["key1", "key2"]
-    (tmp_path / "LOG-3").write_bytes(raw[:12] + b"?" + raw[13:])
+    logs.create("LOG-b").close()
+    assert list(logs.replay("LOG-a")) == CHANGES and list(logs.replay("LOG-b")) == [] and logs.names() == ["LOG-a", "LOG-b"]
+    logs.delete("LOG-a")
+    assert logs.names() == ["LOG-b"]
     with pytest.raises(LogError):
-        list(replay(tmp_path / "LOG-3"))
-
-
-def test_manifest_operations():
-    seg = lambda p, a, b: {"run": "r", "path": p, "smallest": a, "largest": b}
-    state = State()
-    for op in [
-        {"NewLog": {"filename": "LOG.0"}}, {"NewLog": {"filename": "LOG.1"}}, {"AddSegments": {"segments": [seg("1", "/ghi", "/jkl")], "log": "LOG.0"}}, {"AddSegments": {"segments": [seg("2", "/mno", "/pqr")], "log": "LOG.1"}},
-        {"MergeLevel": {"to_level": 1, "segments": [seg("4", "/ghi", "/jkl"), seg("3", "/abc", "/def")]}}, {"NewLog": {"filename": "LOG.3"}}, {"AddSegments": {"segments": [seg("8", "/abc", "/def")], "log": "LOG.3"}},
-    ]:
-        state.apply(op)
-    assert [s.path for s in state.levels[0]] == ["8"] and [s.path for s in state.levels[1]] == ["3", "4"] and state.logs == []
-    for to in (0, 3):
+        list(logs.replay("LOG-a"))
+    if shared:
+        w = logs.create("LOG-c")
+        for c in CHANGES:
+            w.append([c])
+        (tmp_path / "wal/LOG-c/000000000001").unlink()
+        with pytest.raises(LogError):
+            list(logs.replay("LOG-c"))
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_reopening_leaves_no_logs(spark, tmp_path, shared, monkeypatch):
+    root = str(tmp_path / "s")
+    if shared:
+        monkeypatch.setattr("emberlog.store.LocalLogs", lambda folder: wal.SharedLogs(Files(spark, root)))
+    for i in range(4):
+        with KVStore.open(spark, root) as s:
+            s.put(f"k{i}", b"v")
+            assert s._logs.names() == s.manifest.state.logs
+    (tmp_path / "s/wal/LOG-lost").mkdir() if shared else (tmp_path / "s/wal/LOG-lost").write_bytes(b"")
+    with KVStore.open(spark, root) as s:
+        assert len(pairs(s.scan())) == 4
+        assert s.vacuum() == 1 and s._logs.names() == s.manifest.state.logs
+
+
+def test_two_stores_share_a_log_folder(spark, tmp_path):
+    with KVStore.open(spark, str(tmp_path / "a"), wal_dir=str(tmp_path / "w")) as a, KVStore.open(spark, str(tmp_path / "b"), wal_dir=str(tmp_path / "w")) as b:
+        a.put("k", b"a")
+        b.put("k", b"b")
+        assert a.vacuum() == b.vacuum() == 0
+    with KVStore.open(spark, str(tmp_path / "a"), wal_dir=str(tmp_path / "w")) as a:
+        assert a.get("k") == b"a"
+
+
+def test_manifest_follows_a_model():
+    """Random operations against lists of names."""
+    r = random.Random(12)
+    state, levels, logs = State(), [[]], []
+    for i in range(200):
+        low, high = sorted(r.choices("bcdefgh", k=2))
+        file = {"run": f"r{i}", "path": f"segments/r{i}/f", "smallest": low, "largest": high}
+        act = r.randrange(4)
+        if act == 0:
+            state.apply({"NewLog": {"filename": f"L{i}", "next_seq": i}})
+            logs.append(f"L{i}")
+        elif act < 3:
+            log = logs.pop(r.randrange(len(logs))) if logs and r.random() < 0.7 else None
+            state.apply({"AddSegments": {"segments": [file], "log": log}})
+            levels[0].append(file["path"])
+        else:
+            to = r.randrange(1, len(levels) + 1)
+            state.apply({"MergeLevel": {"to_level": to, "segments": [file]}})
+            levels += [[]] * (to == len(levels))
+            levels[to - 1], levels[to] = [], [file["path"]]
+        assert [[s.path for s in level] for level in state.levels] == levels and state.logs == logs
+    assert len(levels) > 3
+    for to in (0, len(levels) + 1):
         with pytest.raises(ManifestError):
             state.apply({"MergeLevel": {"to_level": to, "segments": []}})
     again = State()
     again.apply(state.snapshot())
-    assert again.levels == state.levels
-    with pytest.raises(SegmentPathError):
-        parse(['{"AddSegments": {"segments": [{"run": "r", "path": "../x", "smallest": "a", "largest": "b"}]}}'])
-    with pytest.raises(ManifestError):
-        parse(["nonsense"])
-    s = Segment("r", "p", "/b", "/d")
-    assert s.may_hold("/c") and not s.may_hold("/e") and s.may_hold_prefix("/") and s.may_hold_prefix("/c") and not s.may_hold_prefix("/e") and not s.may_hold_prefix("/a")
+    assert again == state
+    for line in ('{"AddSegments": {"segments": [{"run": "r", "path": "../x", "smallest": "a", "largest": "b"}]}}', '{"AddSegments": {"segments": [{"run": "r", "path": "/x", "smallest": "a", "largest": "b"}]}}'):
+        with pytest.raises(SegmentPathError):
+            parse([line])
+    for line in ("nonsense", '{"Unknown": {}}'):
+        with pytest.raises(ManifestError):
+            parse([line])
+
+
+def test_file_ranges():
+    s = Segment("r", "p", "b", "d")
+    assert [s.may_hold(k) for k in ("a", "b", "c", "d", "da", "e")] == [False, True, True, True, False, False]
+    assert [s.may_hold_prefix(k) for k in ("", "a", "b", "ba", "c", "d", "da", "e")] == [True, False, True, True, True, True, False, False]
 
 
 def test_config():
