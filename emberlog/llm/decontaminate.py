@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.runtime import streamed
 from emberlog.llm.textblock import buffers, large, row_ranges, spread
 
 Q, RATE, PROBE, LEAST = 8, 0.08, 200, 8
@@ -231,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
         return run
 
     schema = "doc_id long, item_id long, n_edits long, start long, n_bytes long"
-    parts = [rows.mapInArrow(scan(context.broadcast(ProbeIndex.build(b))), schema) for b in blocks(benchmark)]
+    parts = [rows.mapInArrow(streamed(scan(context.broadcast(ProbeIndex.build(b)))), schema) for b in blocks(benchmark)]
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -250,5 +251,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
         return run
 
     for b in blocks(benchmark):
-        docs = docs.mapInArrow(keep(context.broadcast(ProbeIndex.build(b))), docs.schema)
+        docs = docs.mapInArrow(streamed(keep(context.broadcast(ProbeIndex.build(b)))), docs.schema)
     return docs

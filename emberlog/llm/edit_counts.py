@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.runtime import streamed
 from emberlog.llm.segments import SegmentCache, Segmented, byte_bpe, cuts_at_blanks, once
 from emberlog.llm.textblock import buffers, large, row_ranges
 
@@ -159,7 +160,7 @@ def edited_counts(docs: DataFrame, edits: Column, tokenizer: str, text: str = "t
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), edits.cast(f"array<{EDIT}>").alias("edits"), *stored)
-    return rows.mapInArrow(run, SCHEMA + (f", text string, {TREE}" if state else ""))
+    return rows.mapInArrow(streamed(run), SCHEMA + (f", text string, {TREE}" if state else ""))
 
 
 def _cut(text: bytes, sizes: list[int]) -> list[bytes]:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.runtime import streamed
+
 PATH_PLACES, WORD_PLACES, RATIOS = 192, 96, 6
 HIDDEN, PAGES, EPOCHS, BATCH, RATE, SEED = 24, 1000, 10, 24, 0.008, 11
 INPUTS = PATH_PLACES + WORD_PLACES + RATIOS
@@ -436,4 +438,4 @@ def extract(pages: DataFrame, body: str = "html", at_once: int = 256) -> DataFra
                 texts = main_texts([x or "" for x in column.slice(a, at_once).to_pylist()], net)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, at_once), batch.column(1).slice(a, at_once), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(body), F.lit("")).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(body), F.lit("")).alias("html")).mapInArrow(streamed(run), "page_id long, url string, text string, n_chars long")

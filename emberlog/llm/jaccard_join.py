@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import keycounts
 from emberlog.llm.components import roots
-from emberlog.llm.runtime import materialize
+from emberlog.llm.runtime import grouped, materialize, paired, streamed
 from emberlog.llm.textblock import large, row_ranges, windows, words_of
 
 SHINGLE, PERCENT = 3, 90
@@ -95,8 +95,8 @@ def shingled(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         return pa.Table.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
-    answers = keycounts.answered(rows.groupBy("block").applyInArrow(ask, keycounts.ASKED))
-    return rows.groupBy("block").cogroup(answers.select("block", "bucket", "kind", "counts").groupBy("block")).applyInArrow(read, SHINGLED)
+    answers = keycounts.answered(rows.groupBy("block").applyInArrow(grouped(ask), keycounts.ASKED))
+    return rows.groupBy("block").cogroup(answers.select("block", "bucket", "kind", "counts").groupBy("block")).applyInArrow(paired(read), SHINGLED)
 
 
 def could_link(n: Column, at: Column, m: Column, bt: Column, percent: int = PERCENT) -> Column:
@@ -120,7 +120,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return full.select("a", "b", "x", "y").mapInArrow(streamed(run), "a binary, b binary")
 
 
 def linked_classes(table: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.runtime import grouped
 from emberlog.llm.textblock import pack_counts, pack_keys, unpack_counts, unpack_keys
 
 BLOCK_BYTES = 8 << 20
@@ -110,7 +111,7 @@ def add_up(table: pa.Table, statistics: bool) -> Iterator[pa.RecordBatch]:
 
 def answered(asked: DataFrame, statistics: bool = False) -> DataFrame:
     """The answers of all buckets to rows of ``ASKED``."""
-    return asked.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(list(add_up(t, statistics))), ANSWERED)
+    return asked.groupBy("bucket").applyInArrow(grouped(lambda t: pa.Table.from_batches(list(add_up(t, statistics)))), ANSWERED)
 
 
 def answer_for(table: pa.Table, kind: int) -> np.ndarray:

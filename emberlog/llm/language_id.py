@@ -9,7 +9,7 @@ language in turn in hash order, with ``SAMPLE_WINDOWS`` windows spread evenly ov
 depend on the size of the input. Language, source and id are never inputs of a prediction.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing could be learned; a
-short text is one window filled with zero bytes; repeated rows give repeated results; other columns are not read.
+short text is one window filled with zero bytes; of languages with the same probability the first by name is told; repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.llm.runtime import streamed
 from emberlog.llm.textblock import buffers, large, row_ranges
 
 WINDOW = 128
@@ -178,12 +180,15 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", keep: list
     letters = has_letter(F.col(text))
     if net is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*keep, F.when(letters, F.col(text)).otherwise("").alias("_body"), letters.alias("_letters"))
+    outer, _, inner = text.partition(".")
+    held = keep.index(outer) if inner and outer in keep else None  # a text within a column that travels anyway is not sent twice
+    body = F.lit("") if held is not None else F.when(letters, F.col(text)).otherwise("")
+    rows = docs.select(*keep, body.alias("_body"), letters.alias("_letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.languages, UNKNOWN], object)
         for batch in batches:
-            texts = large(batch.column(len(keep)))
+            texts = large(batch.column(len(keep)) if held is None else pc.struct_field(batch.column(held), inner))
             letter = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
             best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
             for lo, hi in row_ranges(texts, 1 << 20):
@@ -198,4 +203,4 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", keep: list
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
     schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(streamed(run), schema)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import keycounts
+from emberlog.llm.runtime import grouped, paired
 from emberlog.llm.textblock import combine, large, row_ranges, words_of
 
 ORDER = 3
@@ -209,18 +210,18 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", order: int = OR
             schema=_arrow_schema(),
         )
 
-    asked = rows.groupBy("block").applyInArrow(ask, keycounts.ASKED)
+    asked = rows.groupBy("block").applyInArrow(grouped(ask), keycounts.ASKED)
     answers = keycounts.answered(asked, statistics=True)
     if order > 2:
         known = answers.where((F.col("block") >= 0) & (F.col("kind") == 2)).select("block", "bucket", "kind", "counts")
-        longer = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_longer, keycounts.ASKED)
+        longer = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(paired(ask_longer), keycounts.ASKED)
         answers = answers.unionByName(keycounts.answered(longer, statistics=True))
     bins = answers.where(F.col("block") == -1).groupBy("kind", "bin").agg(F.sum("n_types").alias("n_types"), F.sum("n_sum").alias("n_sum"))
     # one list of a few hundred bins, whatever the input, beside the answer with the end token, which every block has
     statistics = bins.agg(F.collect_list(F.struct("kind", "bin", "n_types", "n_sum")).alias("statistics"))
     home = (F.col("kind") == 1) & (F.col("bucket") == keycounts.bucket_of(END, n_buckets))
     answers = answers.where(F.col("block") >= 0).select("block", "bucket", "kind", "counts").crossJoin(F.broadcast(statistics)).withColumn("statistics", F.when(home, F.col("statistics")))
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, SCHEMA)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(paired(read), SCHEMA)
 
 
 def _arrow_schema() -> pa.Schema:

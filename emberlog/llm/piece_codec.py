@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.runtime import streamed
 from emberlog.llm.segments import SegmentCache, Segmented, ids_of, once
 from emberlog.llm.textblock import buffers, large, row_ranges, spread
 
@@ -244,7 +245,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", with_ids:
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(streamed(run), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -258,4 +259,4 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
             decoded, edge = codec.decode(np.asarray(pc.list_flatten(lists), np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": [decoded[a:b].decode("utf-8", "replace") for a, b in zip(edge, edge[1:])]})
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(streamed(run), "doc_id long, text string")

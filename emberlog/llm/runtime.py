@@ -1,59 +1,72 @@
-"""Shared helpers: the shared folder, written tables that cut lineage, and fixed vocabularies."""
+"""Shared helpers: the session's settings, workers' memory, the package on executors, and fixed vocabularies."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.shared import clean_up, fresh_path, materialize, shared_dir
+
+__all__ = ["clean_up", "crc32_of_id", "fresh_path", "grouped", "materialize", "paired", "release", "shared_dir", "ship", "streamed", "tokenizer_path"]
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what separates words.
 SPACES = " \t\n\x0b\f\r"
 #: The same as a Java regex class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Bytes that a batch of rows on its way to Python holds (a row alone may be larger). Set in a session that does not say otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give memory that is free within this process back to the system. Workers live on from task to task, two or more on an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def streamed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``f`` for mapInArrow, with ``release`` after each task."""
 
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
 
-#: Application id -> folder, where none is configured.
-_FOLDERS: dict[str, str] = {}
+    return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share.
+def grouped(f: Callable[[pa.Table], pa.Table]):
+    """``f`` for applyInArrow, with ``release`` after each group."""
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made and remembered for the application.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext.applicationId
-        if own not in _FOLDERS:
-            _FOLDERS[own] = "file://" + tempfile.mkdtemp(prefix="emberlog-")
-        return _FOLDERS[own]
-    if "://" in found:
-        return found
-    # a path without a scheme means the session's default file system
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    def run(table):
+        out = f(table)
+        release()
+        return out
 
+    return run
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/emberlog/{name}-{uuid.uuid4().hex}"
 
+def paired(f: Callable[[pa.Table, pa.Table], pa.Table]):
+    """The same for two tables of a cogroup."""
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and return it as read from there.
+    def run(left, right):
+        out = f(left, right)
+        release()
+        return out
 
-    The files survive the loss of any executor, so nothing above them is computed again.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return run
 
 
 def crc32_of_id(doc_id: Column) -> Column:
@@ -75,7 +88,9 @@ _SHIPPED: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that they need no installation of it."""
+    """Send this package to the executors, once for each application, so that they need no installation of it; bound the session's batches."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

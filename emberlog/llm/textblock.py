@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A column is worked through in row ranges of about so many bytes; a longer text is a range of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 2**64)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.runtime import fresh_path, materialize
+from emberlog.llm.runtime import fresh_path, materialize, streamed
 from emberlog.llm.segments import Segmented, byte_bpe, cuts_at_blanks, ids_of, once
 from emberlog.llm.textblock import large, row_ranges
 
@@ -214,7 +214,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text",
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
-    return materialize(rows.select("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
+    return materialize(rows.select("doc_id", "text").mapInArrow(streamed(write), MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -243,7 +243,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     # a row for each file: few and narrow, so one task can add them up
     based = manifest.select("file", "path", F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     files = based.select("path", "base").repartition(max(1, manifest.count()))
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return files.mapInArrow(streamed(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_files(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
