@@ -1,7 +1,9 @@
 import math
+import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from emberlog.llm import quality as Q
@@ -46,20 +48,99 @@ def test_binomial_tail(spark):
     assert 0 < huge < 1e-6
 
 
-def test_certified_cutoffs_hold_their_bound(spark):
-    good = [(i, "en", 100, 500, 1 if i % 1000 == 0 else 0) for i in range(4000)]  # one in a thousand has 2 thousandths of symbols
-    bad = [(10_000 + i, "en", 100, 500, 200) for i in range(50)]
-    few = [(20_000 + i, "de", 100, 500, 0) for i in range(100)]
-    counts = spark.createDataFrame([(i, g, w, c, s, 0, 0, 5, 5, 0) for i, g, w, c, s in good + bad + few], "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaims long")
-    labels = spark.createDataFrame([(i, 1) for i, *_ in good + few] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
-    cuts = Q.certified(counts, labels, F.col("lang"))
-    rows = cuts.collect()
-    assert [r["stratum"] for r in rows] == ["en"]  # de has too few labels
-    assert rows[0]["cut_symbols"] == 10
-    verdict = Q.judge(counts, cuts, F.col("lang"))
-    assert verdict.where("doc_id >= 10000 and doc_id < 20000 and kept").count() == 0
-    assert verdict.where("doc_id < 10000 and not kept").count() == 0
-    assert verdict.where("lang = 'de' and not kept").count() == 0
-    # with a rate of false rejections that the bound does not allow, no cutoff is certified
-    worse = counts.withColumn("n_symbols", F.when((F.col("doc_id") < 10_000) & (F.col("doc_id") % 100 == 0), F.lit(400)).otherwise(F.col("n_symbols")))
-    assert [r["cut_symbols"] for r in Q.certified(worse, labels, F.col("lang")).collect()] == [None]
+COUNTS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaims long"
+
+
+def table(spark, rows):
+    """Rows (doc_id, lang, symbols, repeated words) of a hundred words and a thousand characters."""
+    return spark.createDataFrame([(i, g, 100, 1000, s, 0, w, 10, 10, 0) for i, g, s, w in rows], COUNTS)
+
+
+def level(n, ks, units):
+    """The certified level by the definition, from the numbers that each level rejects."""
+    best = 0
+    for j, k in enumerate(ks, 1):
+        if k >= n * Q.ALPHA or exact_tail(n, k, Q.ALPHA) > Q.DELTA / units:
+            break
+        best = j
+    return best or None
+
+
+def severity(symbols, repeats):
+    return max(sum(s > c for c in Q.RULES[r][2]) for r, s in (("symbols", symbols), ("repeats", repeats * 10)))
+
+
+def test_levels_match_the_definition(spark):
+    r = random.Random(14)
+    rows = []
+    for lang, n in (("en", 1500), ("de", 330), ("fr", 120), ("es", 90), (None, 40), ("it", 3)):
+        for _ in range(n):
+            rows.append((len(rows), lang, int(r.random() ** 60 * 500), int(r.random() ** 60 * 49)))
+    labels = [(i, 1) for i, g, *_ in rows if g != "it"] + [(0, 0), (1, 1), (1, 1)]
+    rows += rows[:5] + [(0, "en", 450, 0)]  # repeated ids: one trial each, the worst row counts
+    got = {x["stratum"]: (x["n_good"], x["level"]) for x in Q.certified(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), F.coalesce("lang", F.lit(""))).collect()}
+    worst = {}
+    for i, g, s, w in rows:
+        if g != "it":
+            worst[i] = (g or "", max(worst.get(i, ("", 0))[1], severity(s, w)))
+    by = {}
+    for g, s in worst.values():
+        by.setdefault(g, []).append(s)
+    ks = lambda xs: [sum(x > Q.LEVELS - j for x in xs) for j in range(1, Q.LEVELS + 1)]
+    thin = by["fr"] + by["es"] + by[""]
+    assert got == {"en": (1500, level(1500, ks(by["en"]), 3)), "de": (330, level(330, ks(by["de"]), 3)), None: (250, level(250, ks(thin), 3))}
+    assert got["en"][1] > 0
+
+
+def test_thin_strata_share_a_unit(spark):
+    sizes = {"en": 214, "de": 45, "fr": 40}
+    rows = [(i, g, 0, 0) for i, g in enumerate(g for g, n in sizes.items() for _ in range(n))]
+    bad = [(1000 + i, g, 390, 0) for i, g in enumerate(["en", "de", "fr", "xx", None])]
+    counts, labels = table(spark, rows + bad), spark.createDataFrame([(i, 1) for i, *_ in rows] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    stratum = F.coalesce("lang", F.lit(""))
+    cuts = Q.certified(counts, labels, stratum)
+    # de and fr have too few good labels even together, so all good labels decide for them, and for strata without any
+    assert {x["stratum"]: (x["n_good"], x["level"]) for x in cuts.collect()} == {"en": (214, 8), None: (299, 8)}
+    out = {x["doc_id"]: (x["kept"], x["rejected_by"]) for x in Q.judge(counts, cuts, stratum).collect()}
+    assert all(out[i] == (i < 1000, [] if i < 1000 else ["symbols"]) for i in out) and len(out) == 304
+    # too few good labels in all: base verdicts only
+    few = Q.certified(counts, labels.where("doc_id < 100"), stratum)
+    assert few.where("level is not null").count() == 0 and Q.judge(counts, few, stratum).where("not kept").count() == 0
+
+
+def test_a_rate_above_the_bound_certifies_nothing(spark):
+    rows = [(i, "en", 450 if i % 40 == 0 else 0, 0) for i in range(4000)]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows], "doc_id long, quality int")
+    assert {x["level"] for x in Q.certified(table(spark, rows), labels, F.col("lang")).collect()} == {None}
+    # what the base rules reject anyway is no false rejection of the levels
+    rows = [(i, "en", 450 if i % 40 == 0 else 0, 60 if i % 40 == 0 else 0) for i in range(4000)]
+    assert {x["level"] for x in Q.certified(table(spark, rows), labels, F.col("lang")).collect()} == {8}
+
+
+def test_query_matches_sql(spark, tmp_path):
+    """The whole operator against its SQL on a table with nulls, repeated rows and labels, and thin strata."""
+    r = random.Random(3)
+    docs = []
+    for i in range(700):
+        text = " ".join("".join(r.choices("abcdéÜ!#", [9, 9, 9, 9, 3, r.random() * 3, r.random(), r.random() ** 4 * 60], k=6)) for _ in range(r.randrange(40, 90)))
+        text += "\n" + "\n".join([text[:40]] * r.choice([0, 0, 0, 1, 2, 5]))
+        docs.append((i, r.choice([text, text, text, None, text + " " + text[: len(text) // 3]]), r.choice(["en", "en", "en", "en", "de", None])))
+    docs += docs[:20] + [(None, "x", "en")]
+    labels = [(i, r.random() < 0.8) for i in range(650)] + [(5, 1), (5, 0), (None, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(q)) for i, q in labels], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    out = Q.quality_rules(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    ours = Counter(map(tuple, out.select(*sorted(out.columns)).collect()))
+    assert ours == Counter(con.execute(f"SELECT {', '.join(sorted(out.columns))} FROM ({Q.oracle_sql()})").fetchall())
+    assert out.where("rejected_by <> '' and not base_failed").count() > 0
+
+
+def test_keep_good_uses_the_levels(spark):
+    good = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "de" if i % 2 else "fr") for i in range(400)]
+    bad = [(5000 + i, " ".join(f"w{i}y{j}###" for j in range(60)), "de") for i in range(3)]
+    docs = spark.createDataFrame(good + bad + [(9000, "one two three four five six seven eight nine ten " * 6, "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    assert {r["doc_id"] for r in Q.keep_good(docs, labels).select("doc_id").collect()} == {i for i, *_ in good}
