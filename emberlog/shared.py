@@ -45,13 +45,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, rows_a_file: int = 100_000) -> DataFrame:
     """Write ``df`` once into the shared folder and return it as read from there.
 
-    The files survive the loss of any executor, so nothing above them is computed again.
+    The files survive the loss of any executor, so nothing above them is computed again. If it is known that ``df`` has at most so many narrow
+    ``rows``, they go to no more files than that needs (its last stage then has no more tasks either).
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    held = df if rows is None else df.coalesce(max(1, -(-rows // rows_a_file)))
+    held.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
