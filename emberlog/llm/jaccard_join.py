@@ -9,14 +9,20 @@ enough left in both.
 2. Documents with equal sets form a class. Classes with the same size and prefix form a group, which is posted once.
 3. Each group is verified against one other group only, the one that comes first under the group's commonest prefix
    shingle, and members of a group against its first member. Components of these links are taken.
-4. Only where a prefix shingle joins different components are group pairs made, filtered by size and position, expanded to their
-   members and verified. A pair within one component needs no check, as its link cannot change the components.
+4. Only where a prefix shingle joins different components are group pairs made. Of two linked sets the smaller one holds their first common
+   shingle so early that its posting alone tells how large a partner may be; postings that allow none as large as the set itself are
+   not indexed, and the others meet probes of their sizes only. Pairs are filtered by size and position, expanded to their members
+   and verified. A pair within one component needs no check, as its link cannot change the components.
    So copies, near copies and texts around a common passage never give all their pairs.
 
+Hot keys: a class that many pairs name and a shingle that many groups post are dealt into parts (see ``skew``). The links that are verified
+span each component; other links within a component are not listed.
+
 What is verified is counted on whole sets of 64-bit shingle hashes. The result is exact up to equal hashes of different shingles.
 
 Defined cases: a null or empty text has no shingles, links with nothing and is its own component; a text with fewer than three words is one shingle;
 repeated rows are equal sets; rows without an id are members but never name a component unless all are; other columns are not read.
+``one_of_each`` hands on all columns; of rows with one id and text it keeps the first by their JSON form.
 """
 
 from __future__ import annotations
@@ -32,9 +38,12 @@ from pyspark.sql import functions as F
 from emberlog.llm import keycounts
 from emberlog.llm.components import roots
 from emberlog.llm.runtime import grouped, materialize, paired, streamed
+from emberlog.llm.skew import LEAST, MOST, salted_join
 from emberlog.llm.textblock import large, row_ranges, windows, words_of
 
 SHINGLE, PERCENT = 3, 90
+#: Rows without a text or set that a task may get under one key.
+NARROW = 5000
 SHINGLED = "doc_id long, mark long, n long, class binary, prefix binary, tokens array<long>, positions array<int>, members binary"
 
 
@@ -105,8 +114,18 @@ def could_link(n: Column, at: Column, m: Column, bt: Column, percent: int = PERC
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (q * F.least(n - at, m - bt) >= percent * (n + m))
 
 
+def largest_partner(n: Column, at: Column, percent: int = PERCENT) -> Column:
+    """The size that a set linked with one of ``n`` shingles has at most, if their first common shingle is at position ``at`` of the latter."""
+    return F.least(F.floor((percent + 100) * (n - at) / percent) - n, F.floor(100 * n / percent))
+
+
+def size_class(n: Column) -> Column:
+    """Sizes within about a twentieth of each other."""
+    return F.floor(F.log(n.cast("double")) / 0.05).cast("int")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose sets link. Each join moves one set for each pair; Spark splits a class that very many pairs name."""
+    """The rows (a, b) of ``pairs`` (a written table) whose sets link. A class that very many pairs name is dealt into parts, and its set goes to each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +138,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b")
+    size = max(LEAST, pairs.count() // MOST)
+    full = pairs
+    for side, name in (("a", "x"), ("b", "y")):
+        full = salted_join(full, sets.select(F.col("class").alias(side), F.col("members").alias(name)), [side], size, pairs)
     return full.select("a", "b", "x", "y").mapInArrow(streamed(run), "a binary, b binary")
 
 
@@ -132,27 +154,39 @@ def linked_classes(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = classes.groupBy("prefix").agg(F.min("class").alias("head"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("positions").alias("positions"))
     posting = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("positions").alias("at")))
     postings = groups.select("head", "prefix", "n", posting.alias("p")).select("head", "prefix", "n", F.col("p.token").alias("token"), F.col("p.at").alias("at"))
+    postings = materialize(postings, "jaccard-postings")
     # the group that meets the shingle first has the fewest rare ones of its own: the middle of a cluster
     met = postings.groupBy("token").agg(F.min(F.struct("at", "n", "head")).alias("hub"), F.count(F.lit(1)).alias("n_groups")).where(F.col("n_groups") > 1)
-    ways = postings.join(met, "token").where((F.col("head") != F.col("hub.head")) & could_link(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), percent))
+    ways = salted_join(postings, met, ["token"], NARROW).where((F.col("head") != F.col("hub.head")) & could_link(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), percent))
     chosen = ways.groupBy("head").agg(F.max(F.struct("n_groups", "token", F.col("hub.head").alias("to"))).alias("w")).select(F.col("head").alias("a"), F.col("w.to").alias("b"))
-    within = classes.join(groups.select("prefix", "head"), "prefix").where(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
-    links = materialize(verified(chosen.unionByName(within), sets, percent), "jaccard-links")
-    part = materialize(roots(links), "jaccard-parts")
+    within = salted_join(classes.select("class", "prefix"), groups.select("prefix", "head"), ["prefix"], NARROW).where(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
+    n_classes = classes.count()
+    links = materialize(verified(materialize(chosen.unionByName(within), "jaccard-pairs", 2 * n_classes), sets, percent), "jaccard-links")
+    part = materialize(roots(links), "jaccard-parts", n_classes)
     # units: members of a group that are in one component so far
-    owned = classes.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    owned = materialize(classes.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-owned")
     units = owned.groupBy("prefix", "root").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("positions").alias("positions"))
     posted = units.select("prefix", "root", "n", posting.alias("p")).select("prefix", "root", "n", F.col("p.token").alias("token"), F.col("p.at").alias("at"))
+    posted = materialize(posted, "jaccard-units")
     mixed = posted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("token")
-    posted = materialize(posted.join(mixed, "token"), "jaccard-open")
-    other = posted.select("token", *[F.col(c).alias(f"o_{c}") for c in ("prefix", "root", "n", "at")])
-    unit_pairs = posted.join(other, "token").where((F.col("root") < F.col("o_root")) & could_link(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
-    unit_pairs = unit_pairs.select("prefix", "root", "o_prefix", "o_root").distinct()
+    most = largest_partner(F.col("n"), F.col("at"), percent)
+    probes = materialize(salted_join(posted, mixed, ["token"], NARROW).withColumn("size", size_class(F.col("n"))), "jaccard-probes")
+    index = probes.where(most >= F.col("n")).withColumn("size", F.explode(F.sequence(size_class(F.col("n")), size_class(most))))
+    index = index.select("token", "size", *[F.col(c).alias(f"o_{c}") for c in ("prefix", "root", "n", "at")])
+    smaller = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_root") < F.col("root")))
+    found = salted_join(probes, index, ["token", "size"], NARROW).where(smaller & (F.col("root") != F.col("o_root")) & could_link(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
+    unit_pairs = materialize(found.select("prefix", "root", "o_prefix", "o_root").distinct(), "jaccard-unit-pairs")
+    if unit_pairs.isEmpty():
+        return part
     member = owned.select("prefix", "root", F.col("class"))
     pairs = unit_pairs.join(member.withColumnRenamed("class", "a"), ["prefix", "root"]).select("a", F.col("o_prefix").alias("prefix"), F.col("o_root").alias("root"))
-    pairs = pairs.join(member.withColumnRenamed("class", "b"), ["prefix", "root"]).select("a", "b")
+    pairs = materialize(pairs.join(member.withColumnRenamed("class", "b"), ["prefix", "root"]).select("a", "b"), "jaccard-pairs")
     late = materialize(verified(pairs, sets, percent), "jaccard-links")
-    return roots(links.unionByName(late))
+    # late links join whole components: few beside the links before
+    whole = owned.select(F.col("class").alias("node"), "root")
+    ends = late.join(whole.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(whole.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select("ra", "rb")
+    top = materialize(roots(ends, "ra", "rb"), "jaccard-tops")
+    return whole.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -182,11 +216,27 @@ def one_of_each(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent:
 
     A document is known by its id and the hash of its text, so a repeated id with another text is another document.
     """
-    own = docs.columns
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     best = components(docs, text, k, percent).groupBy("component").agg(F.min_by(F.struct("doc_id", "mark"), order).alias("b"))
     best = best.select(F.col("b.doc_id").alias("_b_id"), F.col("b.mark").alias("_b_mark"))
-    marked = docs.withColumn("_j_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_b_id")) & (F.col("_j_mark") == F.col("_b_mark")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_j_mark").orderBy(F.lit(0)))
-    return kept.withColumn("_j_n", first).where(F.col("_j_n") == 1).select(*own)
+    # the columns of docs travel in one struct, so none of their names can clash
+    marked = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_mark"))
+    kept = marked.join(best, F.col("_id").eqNullSafe(F.col("_b_id")) & (F.col("_mark") == F.col("_b_mark")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy(F.to_json("_doc")))
+    return kept.withColumn("_n", first).where(F.col("_n") == 1).select("_doc.*")
+
+
+def oracle_sql(k: int = SHINGLE, percent: int = PERCENT) -> str:
+    """The rows of ``jaccard_components`` for ``documents`` in DuckDB's SQL, for distinct ids that are not null: all pairs that share a shingle, so for small tables."""
+    shingle = " || ' ' || ".join(f"x[i + {j}]" for j in range(k))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) >= {k} THEN list_transform(range(1, len(x) - {k - 2}), lambda i: {shingle}) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END) AS s FROM w),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS name FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+held AS (SELECT doc_id, n, count(*) OVER (PARTITION BY name) AS class_size FROM sizes)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS component_id, coalesce(class_size, 1) AS class_size
+FROM w LEFT JOIN held ON held.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id"""

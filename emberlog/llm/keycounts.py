@@ -32,20 +32,16 @@ def sizes(docs: DataFrame, text: str, keys_per_byte: float) -> tuple[int, int]:
     return max(1, -(-total // BLOCK_BYTES)), max(1, int(total * keys_per_byte / BUCKET_KEYS) + 1)
 
 
-def edges(n_buckets: int) -> np.ndarray:
-    """The least key of each bucket but the first."""
-    return np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)
-
-
-def bucket_of(key: np.uint64, n_buckets: int) -> int:
-    return int(np.searchsorted(edges(n_buckets), key, side="right"))
+def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The key range of each key, below 2**32 ranges."""
+    return ((np.asarray(keys, np.uint64) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def ask(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``ASKED`` for a block's distinct sorted keys."""
-    cut = np.concatenate([[0], np.searchsorted(keys, edges(n_buckets)), [len(keys)]])
-    full = np.flatnonzero(np.diff(cut))
-    spans = [(int(cut[b]), int(cut[b + 1])) for b in full]
+    """Rows of ``ASKED`` for a block's distinct sorted keys, in the time that its keys take, however many buckets there are."""
+    bucket = bucket_of(keys, n_buckets)
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    full, spans = bucket[begin], list(zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]))
     yield pa.RecordBatch.from_pydict(
         {"block": pa.array([block] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "kind": pa.array([kind] * len(full), pa.int32()), "keys": pa.array([pack_keys(keys[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary())}
     )

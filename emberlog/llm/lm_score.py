@@ -219,7 +219,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", order: int = OR
     bins = answers.where(F.col("block") == -1).groupBy("kind", "bin").agg(F.sum("n_types").alias("n_types"), F.sum("n_sum").alias("n_sum"))
     # one list of a few hundred bins, whatever the input, beside the answer with the end token, which every block has
     statistics = bins.agg(F.collect_list(F.struct("kind", "bin", "n_types", "n_sum")).alias("statistics"))
-    home = (F.col("kind") == 1) & (F.col("bucket") == keycounts.bucket_of(END, n_buckets))
+    home = (F.col("kind") == 1) & (F.col("bucket") == int(keycounts.bucket_of(END, n_buckets)))
     answers = answers.where(F.col("block") >= 0).select("block", "bucket", "kind", "counts").crossJoin(F.broadcast(statistics)).withColumn("statistics", F.when(home, F.col("statistics")))
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(paired(read), SCHEMA)
 

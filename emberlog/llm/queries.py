@@ -66,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.oracle_sql(), "op6_quality_rules": quality.oracle_sql()}
+    return {"op3_ngram_jaccard_join": jaccard_join.oracle_sql(), "op4_sharding": sharding.oracle_sql(), "op6_quality_rules": quality.oracle_sql()}

@@ -187,3 +187,43 @@ def test_prefix_is_long_enough(n):
 def test_size_and_position_filter(spark):
     df = spark.createDataFrame([(100, 0, 100, 0), (100, 0, 112, 0), (100, 6, 100, 0), (100, 5, 100, 5)], "n int, a int, m int, b int")
     assert [r[0] for r in df.select(J.could_link(F.col("n"), F.col("a"), F.col("m"), F.col("b"))).collect()] == [True, False, False, True]
+
+
+def test_matches_sql(spark, edge_rows, tmp_path):
+    """The query's SQL, on distinct ids."""
+    import duckdb
+
+    docs = [(i, t) for i, t in {i: t for i, t, _ in edge_rows if i is not None}.items()]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = J.jaccard_components(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    names = ", ".join(out.columns)
+    assert Counter(map(tuple, out.collect())) == Counter(con.execute(f"SELECT {names} FROM ({J.oracle_sql()})").fetchall())
+
+
+def test_template_texts_make_few_pairs(spark, monkeypatch):
+    """Texts that differ in one word and are not similar enough share almost all shingles, but none early enough to be indexed."""
+    made = []
+    seen = J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, *a: made.append(pairs.count()) or seen(pairs, *a))
+    r = random.Random(2)
+    base = prose(r, 42).split()
+    docs = []
+    for i in range(600):
+        own = list(base)
+        own[r.randrange(3, 39)] = f"own{i}"
+        docs.append((i, " ".join(own)))
+    got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(x["doc_id"], x["component_id"]) for x in got.collect()} == {(i, c) for i, _, c in brute(docs)}
+    assert sum(made) <= 2 * len(docs)
+
+
+def test_salted_join_splits_hot_keys(spark):
+    from emberlog.llm.skew import salted_join
+
+    left = spark.createDataFrame([(1 if i < 900 else i, i) for i in range(1000)] + [(None, -1)], "k long, a long")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (950, "z"), (None, "n"), (7777, "m")], "k long, b string")
+    joined = salted_join(left, right, ["k"], 50)
+    assert sorted(map(tuple, joined.collect())) == sorted([(1, i, b) for i in range(900) for b in "xy"] + [(950, 950, "z")])
+    assert salted_join(left.limit(0), right, ["k"]).count() == 0
