@@ -9,6 +9,8 @@ root holds what encoding the whole edited text would give.
 
 Trees travel between runs as arrays (``tree_columns``), so a later batch of edits starts from the stored tree.
 
+Strings of special tokens are ordinary text here.
+
 Defined cases: a null text is empty; positions beyond the end are the end, and an end before its start is the start; null
 replacements are empty; edits apply in the order of the list, each to the text as the ones before left it; a document without edits keeps its
 counts; empty tables give empty results; other columns are not read.

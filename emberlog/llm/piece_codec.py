@@ -2,20 +2,23 @@
 
 The model's protobuf is parsed here and rebuilt from the library's parts: normaliser (the precompiled character map, if any, and
 the handling of blanks), the metaspace marker U+2581, the model (unigram scores, or merges ordered by the pieces' scores for
-a BPE model) and byte fallback. Batches are encoded by the library's own threads.
+a BPE model) and byte fallback. Batches are encoded and decoded by the library's own threads (``THREADS`` in a worker, unless RAYON_NUM_THREADS says otherwise).
 
 No symbol of either model spans two bytes that no piece holds next to each other. With an identity normaliser and byte
 fallback, a text can therefore be cut at such places and each distinct segment encoded once. Every distinct
-segment's ids are compared with those of the sentencepiece library when it is first met; should they differ, the document counts
-the difference in ``n_differing`` and takes the sentencepiece ids. Models with another normaliser are encoded and compared text by text.
+segment's ids are compared with those of the sentencepiece library when it is first met. That library only verifies: the ids returned are those of
+the rebuilt tokenizer, and ``n_differing`` counts a document's segments for which the two differ. Models with another normaliser are encoded
+and compared text by text. Ids are decoded by the rebuilt decoder: marker, byte fallback, leading blank.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; control characters, unknown characters and
 blanks of any number survive; a text that holds U+2581 itself decodes to a blank there and reports ``round_trip`` false;
-repeated rows give repeated results; columns other than the two named are not read.
+repeated rows give repeated results; columns other than the two named are not read. Ids of control and unused pieces decode to nothing, unknown ones to
+the model's surface for them, bytes that are no UTF-8 to U+FFFD.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from array import array
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.runtime import streamed
 from emberlog.llm.segments import SegmentCache, Segmented, ids_of, once
-from emberlog.llm.textblock import buffers, large, row_ranges, spread
+from emberlog.llm.textblock import buffers, large, row_ranges
 
 #: Field values of the public protobuf definition.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
+#: Threads of the library in each worker process.
+THREADS = 2
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -108,7 +113,7 @@ class PieceModel:
         return [(p[:j], p[j:]) for p in ranked for j in range(1, len(p)) if p[:j] in own and p[j:] in own]
 
     def tokenizer(self, normalise: bool = True):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, models, normalizers
 
         if self.kind == BPE:
             model = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unk][0], fuse_unk=True, byte_fallback=self.byte_fallback)
@@ -121,9 +126,17 @@ class PieceModel:
                 steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
             steps += [normalizers.Prepend(MARK)] * self.dummy_prefix + [normalizers.Replace(" ", MARK)]
             out.normalizer = normalizers.Sequence(steps)
-        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * self.dummy_prefix])
+        out.decoder = self.decoder()
         return out
 
+    def decoder(self, unknown: bool = False):
+        """From the strings of pieces to a text; ``unknown``: for ids that may hold the unknown piece."""
+        from tokenizers import decoders
+
+        # the surface may begin with a blank that is not the prefix: a noncharacter stands for it meanwhile
+        before, after = [decoders.Replace(self.pieces[self.unk][0], "\ufdd0")] * unknown, [decoders.Replace("\ufdd0", self.unk_surface)] * unknown
+        return decoders.Sequence([*before, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * self.dummy_prefix, *after])
+
     @property
     def splittable(self) -> bool:
         return not self.charsmap and not self.squeeze and self.byte_fallback
@@ -139,11 +152,6 @@ class PieceModel:
         out[:, 0xE2] |= out[:, 0x20]
         return out
 
-    def surfaces(self) -> list[bytes]:
-        """The bytes that each id decodes to."""
-        as_bytes = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNUSED: lambda p: b"", UNKNOWN: lambda p: self.unk_surface.encode()}
-        return [as_bytes.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in self.pieces]
-
 
 class PieceCodec:
     """Encoder and decoder of one model file, with the cache of a worker process."""
@@ -151,6 +159,8 @@ class PieceCodec:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         raw = open(path, "rb").read()
         self.model = PieceModel.parse(raw)
         self.whole = self.model.tokenizer()
@@ -163,9 +173,8 @@ class PieceCodec:
             self.apart = ~self.model.joined()
             self.apart[:, 0x80:0xC0] = False
             self.cache = SegmentCache(self._encode)
-        surfaces = self.model.surfaces()
-        self.surface, self.surface_len = np.frombuffer(b"".join(surfaces), np.uint8), np.array([len(x) for x in surfaces], np.int64)
-        self.surface_at = np.cumsum(self.surface_len) - self.surface_len
+        self.silent = np.array([kind in (CONTROL, UNUSED) for _, _, kind in self.model.pieces])
+        self.with_unknown = None
 
     def _encode(self, keys: list[bytes]) -> list[bytes]:
         texts = [k.decode() for k in keys]
@@ -174,7 +183,7 @@ class PieceCodec:
         for key, e, other in zip(keys, own, self.check_bare.encode(texts, num_threads=1)):
             if e.ids != other:
                 self.differing.add(key)
-            out.append(array("I", other).tobytes())
+            out.append(array("I", e.ids).tobytes())
         return out
 
     def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -196,20 +205,24 @@ class PieceCodec:
         plain = texts.to_pylist()
         own = [e.ids for e in self.whole.encode_batch_fast(plain, add_special_tokens=False)]
         other = self.check.encode(plain, num_threads=1)
-        first = np.concatenate([[0], np.cumsum([len(x) for x in other])]).astype(np.int64)
-        return np.array([i for x in other for i in x], np.uint32), first, np.array([int(a != b) for a, b in zip(own, other)], np.int64)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        return np.array([i for x in own for i in x], np.uint32), first, np.array([int(a != b) for a, b in zip(own, other)], np.int64)
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of all texts and where each begins (and the end)."""
-        size = self.surface_len[ids]
-        out = self.surface[spread(self.surface_at[ids], size)]
-        edge = np.concatenate([[0], np.cumsum(size)])[first]
-        if self.model.dummy_prefix:
-            keep = np.ones(len(out), bool)
-            lead = edge[:-1][np.diff(edge) > 0]
-            keep[lead] = out[lead] != 32
-            out, edge = out[keep], np.concatenate([[0], np.cumsum(keep)])[edge]
-        return out.tobytes(), edge
+        silent = self.silent[ids]
+        if silent.any():
+            first = np.concatenate([[0], np.cumsum(~silent)])[first]
+            ids = ids[~silent]
+        tokenizer = self.whole
+        if (ids == self.model.unk).any():
+            if self.with_unknown is None:
+                self.with_unknown = self.model.tokenizer()
+                self.with_unknown.decoder = self.model.decoder(unknown=True)
+            tokenizer = self.with_unknown
+        flat, at = ids.tolist(), first.tolist()
+        parts = [t.encode() for t in tokenizer.decode_batch([flat[a:b] for a, b in zip(at, at[1:])], skip_special_tokens=False)]
+        return b"".join(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean, n_differing long"

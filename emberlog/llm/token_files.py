@@ -14,6 +14,9 @@ Writing deals the documents over files by ranges of (id, hash of text), so file
 under a name nothing else uses and returns its row of the manifest; only files named by rows of finished tasks belong to the
 output, so a task that is lost or runs twice leaves at most an unused file. The manifest is written to the shared folder.
 
+Texts are encoded as the tokenizers library does by default with ``add_special_tokens=False``: a string of a special or added token within a
+text becomes that token's id.
+
 Defined cases: a null text is empty and gives the end id only; repeated ids and rows stand next to each other in order of
 their text's hash and text; null ids come first; no documents give an empty manifest and an empty result; other columns are ignored.
 """
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +41,11 @@ from emberlog.llm.textblock import large, row_ranges
 MAGIC = b"PFOR0001"
 BLOCK = 512
 PERCENTILE = 0.9
-#: Bytes of text for each file, and the id that ends a document.
-FILE_BYTES = 16 << 20
+#: Bytes of text for each file: the least, and the most, which very large inputs get so that files (and tasks) do not become too many.
+FILE_BYTES, MOST_BYTES, MANY_FILES = 16 << 20, 64 << 20, 4096
+#: Parts in which the numbers of ids before each file are added up.
+PARTS = 1000
+#: The id that ends a document.
 END_ID = 2
 _FOOT = struct.Struct("<QQQQ8s")
 _HEAD = 7
@@ -188,13 +195,36 @@ def _open_file(path: str, mode: str):
 MANIFEST = "file long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+class Encoder:
+    """Ids of whole texts. Texts without a special or added token's string are encoded by distinct segments, the others as they are."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.cache, self.whole = byte_bpe(path), Tokenizer.from_file(path)
+        self.marks = sorted({t.content for t in self.whole.get_added_tokens_decoder().values() if t.content})
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and where each text's begin (and the end)."""
+        ids, first, _ = ids_of(Segmented(texts, cuts_at_blanks), self.cache)
+        marked = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if marked.any():
+            own = self.whole.encode_batch_fast([texts[int(i)].as_py() for i in np.flatnonzero(marked)], add_special_tokens=False)
+            parts, at = [ids[a:b] for a, b in zip(first, first[1:])], iter(own)
+            parts = [np.array(next(at).ids, np.uint32) if m else p for m, p in zip(marked, parts)]
+            ids, first = np.concatenate(parts).astype(np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, first
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text", end_id: int = END_ID, file_bytes: int | None = None) -> DataFrame:
     """Encode every text and write the files under ``path``; returns the manifest, as written to the shared folder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, writer, sink, name, n, shard = once((tokenizer,), lambda: byte_bpe(tokenizer)), None, None, "", 0, TaskContext.get().partitionId()
+        encode, writer, sink, name, n, shard = once((tokenizer, "whole"), lambda: Encoder(tokenizer)), None, None, "", 0, TaskContext.get().partitionId()
         for batch in batches:
             texts, doc_ids = large(batch.column("text")), batch.column("doc_id").to_pylist()
             for lo, hi in row_ranges(texts):
@@ -202,7 +232,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text",
                     name = f"{path}/tokens-{shard:06d}-{uuid.uuid4().hex}.pfor"
                     sink = _open_file(name, "w")
                     writer = Writer(sink)
-                ids, first, _ = ids_of(Segmented(texts.slice(lo, hi - lo), cuts_at_blanks), cache)
+                ids, first = encode(texts.slice(lo, hi - lo))
                 with_end = np.insert(ids, first[1:], np.uint32(end_id))
                 writer.add(doc_ids[lo:hi], np.diff(first) + 1, with_end)
                 n += hi - lo
@@ -213,6 +243,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text",
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    file_bytes = file_bytes or min(MOST_BYTES, max(FILE_BYTES, total // MANY_FILES))
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
     return materialize(rows.select("doc_id", "text").mapInArrow(streamed(write), MANIFEST), "token-manifest")
 
@@ -240,9 +271,14 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                         out["ids"] = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(ids.astype(np.int32)))
                     yield pa.RecordBatch.from_pydict(out)
 
-    # a row for each file: few and narrow, so one task can add them up
-    based = manifest.select("file", "path", F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    files = based.select("path", "base").repartition(max(1, manifest.count()))
+    # files are numbered from 0: PARTS runs of them are added up first, then each within itself; a table of PARTS rows is broadcast
+    n = (manifest.agg(F.max("file")).first()[0] or 0) + 1
+    parted = manifest.withColumn("part", F.floor(F.col("file") * PARTS / n).cast("int"))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parted.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
+    sums = sums.select("part", before(Window.partitionBy(F.lit(0)).orderBy("part")).alias("start"))
+    based = parted.withColumn("within", before(Window.partitionBy("part").orderBy("file"))).join(F.broadcast(sums), "part")
+    files = based.select("path", (F.col("start") + F.col("within")).alias("base")).repartition(max(1, manifest.count()))
     return files.mapInArrow(streamed(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 

@@ -26,6 +26,9 @@ PLAIN.encode_special_tokens = True
 TEXT = st.text(st.one_of(st.sampled_from(" \n\t'.,!|$x7éß  　日s"), st.characters(codec="utf-8")), max_size=40)
 
 
+LIBRARY = Tokenizer.from_file(BPE)
+
+
 def plain_ids(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
@@ -69,12 +72,28 @@ def test_token_files(spark, edge, edge_rows, empty):
     assert [r["start"] for r in out] == np.cumsum([0, *(r["n_tokens"] for r in out)])[:-1].tolist()
     ids = [r["doc_id"] for r in out]
     assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
-    expected = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t, _ in edge_rows for x in [plain_ids(t) + [2]])
+    expected = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t, _ in edge_rows for x in [LIBRARY.encode(t or "", add_special_tokens=False).ids + [2]])
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == expected
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in out)
     assert T.token_files(empty, BPE).collect() == []
 
 
+def test_special_strings_are_their_tokens(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext|", "plain", None]
+    rows = T.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE, with_ids=True).collect()
+    expected = {i: LIBRARY.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == expected and 50256 in expected[0]
+
+
+def test_starts_over_many_files(spark, monkeypatch):
+    monkeypatch.setattr(T, "PARTS", 3)
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 5)) for i in range(300)], "doc_id long, text string")
+    manifest = T.write_tokens(docs, BPE, fresh_path(spark, "t"), file_bytes=400)
+    assert manifest.count() > 10
+    out = T.read_tokens(manifest, with_ids=False).orderBy("doc_id").collect()
+    assert [r["start"] for r in out] == np.cumsum([0, *(r["n_tokens"] for r in out)])[:-1].tolist()
+
+
 def test_piece_codec(spark, edge, edge_rows, empty):
     import sentencepiece
 
@@ -99,6 +118,29 @@ def test_piece_codec_parity(texts):
     assert [codec.whole.encode(t, add_special_tokens=False).ids for t in texts] == [sp.encode(t) for t in texts]
 
 
+def test_ids_come_from_the_rebuilt_tokenizer(monkeypatch):
+    """The other library only verifies."""
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[7] for _ in texts]
+
+    codec = P.PieceCodec(PIECES)
+    codec.check_bare = codec.check = Other()
+    texts = ["one text", "", "two  texts é"]
+    ids, first, differing = codec.encode(large(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [_both()[0].encode(t) for t in texts]
+    assert (differing > 0).tolist() == [True, False, True]
+
+
+def test_decoding_matches_sentencepiece():
+    sp, codec = _both()
+    r = np.random.default_rng(3)
+    lists = [r.integers(3, 32_000, n).tolist() for n in (0, 1, 5, 40)] + [[1, 400, 2], [0, 500, 0], [3 + 0xC3, 3 + 0xA9, 3 + 0xFF, 3 + 0xE2, 600], [29871, 29871, 400]]
+    raw, edge = codec.decode(np.array([i for x in lists for i in x], np.int64), np.cumsum([0, *map(len, lists)]))
+    assert [raw[a:b].decode() for a, b in zip(edge, edge[1:])] == [sp.decode(x) for x in lists]
+
+
 @lru_cache(1)
 def _both():
     import sentencepiece
