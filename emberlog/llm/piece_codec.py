@@ -13,7 +13,7 @@ and compared text by text. Ids are decoded by the rebuilt decoder: marker, byte
 Defined cases: null and empty texts have no ids and decode to the empty text; control characters, unknown characters and
 blanks of any number survive; a text that holds U+2581 itself decodes to a blank there and reports ``round_trip`` false;
 repeated rows give repeated results; columns other than the two named are not read. Ids of control and unused pieces decode to nothing, unknown ones to
-the model's surface for them, bytes that are no UTF-8 to U+FFFD.
+the model's surface for them, each byte of a run of byte pieces that is no UTF-8 to U+FFFD (encoded texts hold none).
 """
 
 from __future__ import annotations
