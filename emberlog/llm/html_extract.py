@@ -9,8 +9,8 @@ The network is trained in this process, in a few seconds and always alike, on pa
 usual containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments, all with known labels. No input rows
 are needed for training, and nothing is fetched.
 
-Defined cases: a null, empty or textless page gives the empty text; a page cut off in the middle of a tag or reference gives what stands
-before it; the inside of a closed svg is no text, nor is that of ``HIDDEN_TAGS``; unclosed elements end where HTML ends them; long pages are read whole; repeated rows give repeated results; the columns page_id
+Defined cases: a null, empty or textless page gives the empty text; a tag, comment or quoted attribute that never ends gives nothing from its
+beginning on, a reference that is cut off stands as it is; reading takes time in proportion to the page, whatever its markup; the inside of a closed svg is no text, nor is that of ``HIDDEN_TAGS``; unclosed elements end where HTML ends them; long pages are read whole; repeated rows give repeated results; the columns page_id
 and url are handed on, others are not read.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.runtime import streamed
+from emberlog.llm.textblock import large, row_ranges
 
 PATH_PLACES, WORD_PLACES, RATIOS = 192, 96, 6
 HIDDEN, PAGES, EPOCHS, BATCH, RATE, SEED = 24, 1000, 10, 24, 0.008, 11
@@ -41,15 +42,74 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 HIDDEN_TAGS = "script|style|template|iframe|textarea"
 #: An element of the first kind ends an open one of the second kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + HIDDEN_TAGS + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S | re.I,
-)
+#: A tag as most pages write it. What it doesn't match is read piece by piece.
+_USUAL = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[ \t\n\f\r]+[a-zA-Z-]+(?:="[^"<>]*"|='[^'<>]*')?)*)[ \t\n\f\r]*(/?)>""")
+_NAME, _GAP, _ATTRIBUTE, _EQUALS, _BARE = (re.compile(p) for p in (r"[a-zA-Z][^ \t\n\f\r/>]*", r"[ \t\n\f\r/]*", r"=?[^ \t\n\f\r/>=]*", r"[ \t\n\f\r]*=[ \t\n\f\r]*", r"[^ \t\n\f\r>]*"))
+_HIDDEN_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>]|\Z)", re.I) for tag in HIDDEN_TAGS.split("|")}
+SKIP, HIDDEN_PART, OPEN, CLOSE = range(4)
 _SVG_END = re.compile("</svg", re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag whose name ends at ``at`` ends; -1 if it never does. A quote counts only where a value begins."""
+    n = len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= n:
+            return -1
+        if page[at] == ">":
+            return at + 1
+        at = _ATTRIBUTE.match(page, at).end()
+        equals = _EQUALS.match(page, at)
+        if equals:
+            at = equals.end()
+            if page[at : at + 1] in ('"', "'"):
+                at = page.find(page[at], at + 1) + 1
+                if not at:
+                    return -1
+            else:
+                at = _BARE.match(page, at).end()
+
+
+def markup(page: str) -> Iterator[tuple[int, int, int, str, str, bool]]:
+    """(start, end, kind, tag, attributes, whether it closes itself) of each piece of markup, in page order."""
+    at, n = 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        usual = _USUAL.match(page, at)
+        if usual:
+            end, kind, tag, attrs, alone = usual.end(), CLOSE if usual[1] else OPEN, usual[2].lower(), usual[3], bool(usual[4])
+        else:
+            close = page.startswith("/", at + 1)
+            name = _NAME.match(page, at + 1 + close)
+            if name:
+                end, kind, tag = _tag_end(page, name.end()), CLOSE if close else OPEN, name[0].lower()
+                if end < 0:
+                    yield at, n, SKIP, "", "", False
+                    return
+                attrs, alone = page[name.end() : end - 1], page[end - 2] == "/"
+            elif close or page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+                end = end if end > at else n
+                yield at, end, SKIP, "", "", False
+                at = end
+                continue
+            elif at + 1 == n:
+                yield at, n, SKIP, "", "", False
+                return
+            else:  # a sign of the text
+                at += 1
+                continue
+        if kind == OPEN and tag in _HIDDEN_END:
+            over = _HIDDEN_END[tag].search(page, end)
+            end = page.find(">", over.end()) + 1 or n if over else n
+            yield at, end, HIDDEN_PART, tag, attrs, alone
+        else:
+            yield at, end, kind, tag, attrs, alone
+        at = end
+
+
 @lru_cache(1 << 14)
 def _path_places(parent: tuple[int, ...], tag: str, attrs: str) -> tuple[int, ...]:
     """Places of a path: those of the parent's, and of the element's tag and the words of its class, id and role."""
@@ -88,20 +148,21 @@ def blocks_of(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. The title in the head is not text of the page."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
+    open_at: dict[str, list[int]] = {}  # places of open elements by tag, and of those at block level
+    block_at: list[int] = []
     now: Block | None = None
-    links = heads = 0
     drawing, last_drawing = False, max((m.start() for m in _SVG_END.finditer(page)), default=-1)
 
     def pop_to(i: int) -> None:
-        nonlocal links, heads
-        for tag, _ in stack[i:]:
-            links -= tag == "a"
-            heads -= tag == "head" or tag == "title"
-        del stack[i:]
+        while len(stack) > i:
+            tag = stack.pop()[0]
+            open_at[tag].pop()
+            if tag in BLOCK_TAGS:
+                block_at.pop()
 
     def text(a: int, b: int) -> None:
         nonlocal now
-        if a < b and not heads:
+        if a < b and not open_at.get("head") and not open_at.get("title"):
             piece = page[a:b]
             if now is None:
                 if piece.isspace():
@@ -110,51 +171,48 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(now)
             now.parts.append(piece)
             now.size += b - a
-            now.linked += (b - a) * (links > 0)
+            now.linked += (b - a) * bool(open_at.get("a"))
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for start, end, kind, tag, attrs, alone in markup(page):
         if not drawing:
-            text(at, m.start())
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"] and now is not None:
+            text(at, start)
+        at = end
+        if kind in (SKIP, HIDDEN_PART):
+            if kind == HIDDEN_PART and now is not None:
                 now.parts.append(" ")
             continue
-        tag = tag.lower()
         if tag == "svg":
             # an element without a content or an end holds no text; another's content is a drawing up to its end or HTML's next block
-            drawing = not m["end"] and not m[0].endswith("/>") and m.start() < last_drawing
+            drawing = kind == OPEN and not alone and start < last_drawing
             if now is not None:
                 now.parts.append(" ")
             continue
         if drawing:
-            if m["end"] or tag not in BLOCK_TAGS or tag == "title":
+            if kind == CLOSE or tag not in BLOCK_TAGS or tag == "title":
                 continue
             drawing = False
-        if m["end"]:
+        if kind == CLOSE:
             if tag in BLOCK_TAGS:
                 now = None
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if i >= 0:
-                pop_to(i)
+            if open_at.get(tag):
+                pop_to(open_at[tag][-1])
             continue
         if tag in BLOCK_TAGS:
             now = None
             kinds = ENDS.get(tag, ()) + (("p",) if tag not in ("option", "body") else ())
-            for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
+            for i in reversed(block_at):
                 if stack[i][0] in kinds:
                     pop_to(i)
-                    break
-                if stack[i][0] in BLOCK_TAGS and stack[i][0] not in kinds and stack[i][0] != "p":
+                if stack[i : i + 1] == [] or stack[i][0] != "p":
                     break
         elif tag == "br" and now is not None:
             now.parts.append(" ")
-        if tag not in VOID_TAGS and not m[0].endswith("/>"):
-            stack.append((tag, _path_places(stack[-1][1] if stack else (), tag, m["attrs"])))
-            links += tag == "a"
-            heads += tag == "head" or tag == "title"
+        if tag not in VOID_TAGS and not alone:
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK_TAGS:
+                block_at.append(len(stack))
+            stack.append((tag, _path_places(stack[-1][1] if stack else (), tag, attrs)))
     if not drawing:
         text(at, len(page))
     return [b for b in out if b.close()]
@@ -427,15 +485,18 @@ def main_texts(pages: list[str], net: Labeller) -> list[str]:
     return ["\n\n".join(x.text for x, s in zip(b, p) if s >= 0.5) for b, p in zip(blocks, scores)]
 
 
-def extract(pages: DataFrame, body: str = "html", at_once: int = 256) -> DataFrame:
-    """page_id, url, text and n_chars of every page; one pass without a shuffle. The network travels with the tasks (under 300 kB)."""
+def extract(pages: DataFrame, body: str = "html") -> DataFrame:
+    """page_id, url, text and n_chars of every page; one pass without a shuffle. The network travels with the tasks (under 300 kB).
+
+    About a megabyte of pages is worked on at once; a longer page is worked on alone.
+    """
     net = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
-            for a in range(0, batch.num_rows, at_once):
-                texts = main_texts([x or "" for x in column.slice(a, at_once).to_pylist()], net)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, at_once), batch.column(1).slice(a, at_once), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            column = large(batch.column(2))
+            for lo, hi in row_ranges(column):
+                texts = main_texts(column.slice(lo, hi - lo).to_pylist(), net)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(body), F.lit("")).alias("html")).mapInArrow(streamed(run), "page_id long, url string, text string, n_chars long")
