@@ -31,6 +31,8 @@ from emberlog.llm.segments import SegmentCache, Segmented, byte_bpe, cuts_at_bla
 from emberlog.llm.textblock import buffers, large, row_ranges
 
 LEAF = 16
+#: Pre-tokens that a leaf may come to hold by edits before it is split (sums are added up again then; nothing else is encoded).
+MOST = 4 * LEAF
 CONTEXT = 4
 EDIT = "struct<start: bigint, stop: bigint, replacement: string>"
 
@@ -39,7 +41,11 @@ class CountTree:
     """Leaves (texts) under sums of tokens and code points; node i has the children 2i and 2i + 1."""
 
     def __init__(self, texts: list[bytes], tokens: list[int], chars: list[int], cache: SegmentCache) -> None:
-        self.texts, self.cache = texts or [b""], cache
+        self.cache, self.reencoded = cache, 0
+        self._build(texts or [b""], tokens, chars)
+
+    def _build(self, texts: list[bytes], tokens: list[int], chars: list[int]) -> None:
+        self.texts = texts
         self.size = 1 << max(0, len(self.texts) - 1).bit_length()
         fill = [0] * (self.size - max(1, len(tokens)))
         self.tokens = [0] * self.size + (list(tokens) or [0]) + fill
@@ -47,7 +53,6 @@ class CountTree:
         for i in range(self.size - 1, 0, -1):
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-        self.reencoded = 0
 
     @property
     def n_tokens(self) -> int:
@@ -98,10 +103,20 @@ class CountTree:
         edges = [a, *(c for c in cuts if a < c < b), b]
         pieces = [data[x:y].tobytes() for x, y in zip(edges, edges[1:])] if new else []
         self.reencoded += len(pieces)
-        tokens = sum(len(v) >> 2 for v in self.cache(pieces)) if pieces else 0
-        self._set(first, new, tokens, len(old) - (stop - start) + len(replacement))
-        for leaf in range(first + 1, last + 1):
-            self._set(leaf, b"", 0, 0)
+        tokens = [len(v) >> 2 for v in self.cache(pieces)] if pieces else []
+        chars = [sum((b & 0xC0) != 0x80 for b in p) for p in pieces]
+        span = last - first + 1
+        # the pieces go to the leaves they came from, or to new ones if they are too many for these
+        each = max(LEAF, -(-len(pieces) // span)) if len(pieces) <= MOST * span else LEAF
+        leaves = [(b"".join(pieces[i : i + each]), sum(tokens[i : i + each]), sum(chars[i : i + each])) for i in range(0, len(pieces), each)]
+        leaves += [(b"", 0, 0)] * (span - len(leaves))
+        if len(leaves) == span:
+            for i, leaf in enumerate(leaves, first):
+                self._set(i, *leaf)
+        else:
+            a, k = self.size, len(self.texts)
+            joined = [[*own[:first], *(x[j] for x in leaves), *own[last + 1 :]] for j, own in enumerate((self.texts, self.tokens[a : a + k], self.chars[a : a + k]))]
+            self._build(*joined)
 
 
 def build(texts: pa.Array, cache: SegmentCache) -> Iterator[tuple[list[bytes], list[int], list[int], int]]:

@@ -211,6 +211,26 @@ def test_edited_counts(spark, edge, edge_rows, empty):
     assert got == {5: "BAone", 6: "two words"}
 
 
+def test_leaves_split():
+    """A large insertion, and many small ones at one place, leave no leaf that later edits would encode whole."""
+    text = " ".join(f"word{i}" for i in range(2000))
+    ((leaves, tokens, chars, _),) = E.build(large(pa.array([text], pa.string())), CACHE)
+    tree = E.CountTree(leaves, tokens, chars, CACHE)
+    new = " and ".join(f"é{i}" for i in range(3000))
+    tree.edit(500, 510, new)
+    text = text[:500] + new + text[510:]
+    for _ in range(300):
+        tree.edit(700, 700, " more")
+        text = text[:700] + " more" + text[700:]
+    tree.edit(600, 900, "")
+    text = text[:600] + text[900:]
+    assert tree.text().decode() == text and tree.n_tokens == len(plain_ids(text))
+    before = tree.reencoded
+    for at in (0, 480, 650, 699, 705, 9000, len(text)):
+        tree.edit(at, at, "x")
+    assert tree.reencoded - before < 7 * 4 * E.MOST
+
+
 @settings(max_examples=120, deadline=None)
 @given(TEXT, st.lists(st.tuples(st.integers(0, 45), st.integers(0, 10), TEXT), max_size=5))
 def test_tree_follows_any_edits(text, edits):
