@@ -21,8 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots are numbered chunk by chunk; a chunk is a hash range of the key. Fixed, whatever the input.
+#: Slots are numbered chunk by chunk; a chunk is a hash range of key and text. Fixed, whatever the input.
 CHUNK_DIGITS = 3
+#: Repeated rows that are laid out again together.
+RUN = 10_000
 
 
 @dataclass(frozen=True)
@@ -94,16 +96,23 @@ def descend(docs: DataFrame, key: Column, tree: HashTree, prefix: str = "") -> D
 
 
 def number_slots(rows: DataFrame, shard: str, chunk: str, order: list[str], slot: str = "slot") -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, in the order (chunk, ``order``).
+    """Number the rows of each shard from 0 without gaps, in the order (chunk, ``order``). ``shard`` and ``chunk`` must follow from ``order``.
 
-    Rows are numbered within (shard, chunk); each chunk starts at the number of rows in the chunks before
-    it. The table of those starts has at most shards x chunks rows, which do not grow with the input, so it is broadcast.
+    Rows equal in ``order`` are added up first, so any number of repeated rows costs one row from each task; they are
+    laid out again in runs of at most ``RUN``, dealt over the tasks. Distinct rows are numbered within (shard, chunk); each chunk starts at
+    the number of rows in the chunks before it. The table of those starts has at most shards x chunks rows, which do not grow with the input, so
+    it is broadcast.
     """
-    counts = rows.groupBy(shard, chunk).agg(F.count(F.lit(1)).alias("_n"))
+    own = rows.columns
+    sums = rows.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in own if c not in order])
+    counts = sums.groupBy(shard, chunk).agg(F.sum("_n").alias("_c"))
     before = Window.partitionBy(shard).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(shard, chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy(shard, chunk).orderBy(*order)) - 1
-    return rows.withColumn("_w", within).join(F.broadcast(starts), [shard, chunk]).withColumn(slot, (F.col("_start") + F.col("_w")).cast("bigint")).drop("_w", "_start")
+    starts = counts.select(shard, chunk, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy(shard, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sums.withColumn("_w", within).join(F.broadcast(starts), [shard, chunk])
+    runs = placed.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(RUN).cast("bigint")))).repartition(*order, "_from")
+    each = F.sequence(F.col("_from"), F.least(F.col("_from") + RUN, F.col("_n")) - 1)
+    return runs.withColumn("_i", F.explode(each)).withColumn(slot, (F.col("_start") + F.col("_w") + F.col("_i")).cast("bigint")).select(*own, slot)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +122,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", te
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     rows = descend(rows, F.col("_key"), tree)
     rows = descend(rows, F.col("_key"), tree.grow(), "grown_")
-    rows = rows.withColumn("_chunk", F.substring(F.md5(F.col("_key").cast("binary")), 1, CHUNK_DIGITS))
+    rows = rows.withColumn("_chunk", F.substring(F.md5(F.concat_ws("|", "_key", "text_crc32").cast("binary")), 1, CHUNK_DIGITS))
     rows = number_slots(rows, "shard", "_chunk", ["doc_id", "text_crc32", "size"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
@@ -153,6 +162,6 @@ b AS (SELECT *, {k.format(r='region')} AS rack, {gk.format(r='grown_region')} AS
 c AS (SELECT *, {s.format(r='region', k='rack')} AS shard, {gs.format(r='grown_region', k='grown_rack')} AS grown_shard,
   xor({SQL_CRC32.format('body')}, 4294967295::BIGINT) AS text_crc32, CAST(octet_length(encode(body)) + 1 AS BIGINT) AS size FROM b, crc_table)
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-  CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, {CHUNK_DIGITS}), doc_id, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || '|' || CAST(text_crc32 AS VARCHAR)), 1, {CHUNK_DIGITS}), doc_id, text_crc32, size) - 1 AS BIGINT) AS slot,
   CAST(grown_shard AS INTEGER) AS grown_shard, CAST(region AS INTEGER) AS region, CAST(rack AS INTEGER) AS rack FROM c
 """

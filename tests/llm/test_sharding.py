@@ -26,6 +26,17 @@ def test_every_row_has_a_slot(edge, edge_rows):
     assert found == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in edge_rows)
 
 
+def test_repeated_rows(spark, monkeypatch):
+    """A third of all rows alike, and one id under many texts."""
+    monkeypatch.setattr(S, "RUN", 100)
+    docs = spark.range(1500).select(F.when(F.col("id") < 500, F.lit(7)).when(F.col("id") < 900, F.lit(None).cast("long")).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 500, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    out = S.shard_documents(docs).collect()
+    assert len(out) == 1500 and sum(r["doc_id"] == 7 for r in out) == 500
+    for shard in range(16):
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_empty(empty):
     assert S.shard_documents(empty).collect() == []
 
