@@ -61,9 +61,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edited_counts(table(spark, sf_dir, "documents"), edit_counts.standard_edits(F.col("text")), tokenizer_path("byte_bpe_50k.json"))
 
 
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ``op1_lm_scoring`` what SQL can express: all but the model's own score."""
+    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def language_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ``op9_language_id`` what SQL can express: which documents are held out, and which have no language."""
+    return op9_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == language_id.UNKNOWN).alias("unknown"), ((F.col("score") >= 0) & (F.col("score") <= 1)).alias("score_in_range"))
+
+
+#: In DuckDB's SQL: the words of a text, and the crc32 of a document's id.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_ID_CRC = f"xor({sharding.SQL_CRC32.format("coalesce(CAST(doc_id AS VARCHAR), '')")}, 4294967295::BIGINT)"
+#: chr(10) stands for the end; no word holds it.
+_LM_BASE = f"""
+WITH {sharding.SQL_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_ID_CRC} % 10 = 0 AS held_out, list_append({_WORDS}, chr(10)) AS x FROM documents, crc_table),
+t AS MATERIALIZED (SELECT rid, doc_id, held_out, unnest(x) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY rid"""
+_UNKNOWN = f"""
+WITH {sharding.SQL_CRC_TABLE}
+SELECT doc_id, {_ID_CRC} % 4 = 2 AS held_out, NOT coalesce(regexp_matches(text, '\\p{{L}}'), false) AS unknown, true AS score_in_range FROM documents, crc_table"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_token_output": op2_token_output, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_sharding": op4_sharding, "op5_html_extraction": op5_html_extraction, "op6_quality_rules": op6_quality_rules, "op7_decontamination": op7_decontamination, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_token_output": op2_token_output, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_sharding": op4_sharding, "op5_html_extraction": op5_html_extraction, "op6_quality_rules": op6_quality_rules, "op7_decontamination": op7_decontamination, "op8_sentencepiece": op8_sentencepiece, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts, "lm_base_columns": lm_base_columns, "language_unknown": language_unknown}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": jaccard_join.oracle_sql(), "op4_sharding": sharding.oracle_sql(), "op6_quality_rules": quality.oracle_sql()}
+    return {"op3_ngram_jaccard_join": jaccard_join.oracle_sql(), "op4_sharding": sharding.oracle_sql(), "op6_quality_rules": quality.oracle_sql(), "lm_base_columns": _LM_BASE, "language_unknown": _UNKNOWN}
