@@ -7,7 +7,7 @@ than the stage it was in.
 Defined cases, for every stage: null and empty texts fail the base rules of the first stage (a stage that gets one all the same drops it
 where it asks for a language, and keeps it otherwise: alone, uncontaminated, without ids); very long texts are read whole, in pieces; null
 languages are a stratum of their own and become the predicted language; rows with a null id are rows like any other; of rows that repeat an id
-and a text one stays, of copies under several ids the smallest; ties are decided by id, then hash of the text, then the row's JSON form; an
+and a text one stays, of copies under several ids the smallest; ties are decided by id, then hash of the text, then hash of the row; an
 empty table stays empty; further columns are handed on unchanged, whatever their names (they travel in one struct).
 """
 
