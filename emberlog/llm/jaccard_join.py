@@ -22,7 +22,7 @@ What is verified is counted on whole sets of 64-bit shingle hashes. The result i
 
 Defined cases: a null or empty text has no shingles, links with nothing and is its own component; a text with fewer than three words is one shingle;
 repeated rows are equal sets; rows without an id are members but never name a component unless all are; other columns are not read.
-``one_of_each`` hands on all columns; of rows with one id and text it keeps the first by their JSON form.
+``one_of_each`` hands on all columns; of rows with one id and text it keeps the first by a hash of the row.
 """
 
 from __future__ import annotations
@@ -222,7 +222,8 @@ def one_of_each(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent:
     # the columns of docs travel in one struct, so none of their names can clash
     marked = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_mark"))
     kept = marked.join(best, F.col("_id").eqNullSafe(F.col("_b_id")) & (F.col("_mark") == F.col("_b_mark")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy(F.to_json("_doc")))
+    hashable = [F.to_json(F.col("_doc")[c]) if "map<" in kind or "variant" in kind else F.col("_doc")[c] for c, kind in docs.dtypes]
+    first = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy(F.xxhash64(*hashable)))
     return kept.withColumn("_n", first).where(F.col("_n") == 1).select("_doc.*")
 
 
