@@ -43,7 +43,9 @@ from emberlog.llm.textblock import large, row_ranges, windows, words_of
 
 SHINGLE, PERCENT = 3, 90
 #: Rows without a text or set that a task may get under one key.
-NARROW = 5000
+NARROW = 1000
+#: Rows of postings or pairs that a written file holds.
+FILE_POSTINGS = 500_000
 SHINGLED = "doc_id long, mark long, n long, class binary, prefix binary, tokens array<long>, positions array<int>, members binary"
 
 
@@ -138,39 +140,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    size = max(LEAST, pairs.count() // MOST)
+    n = pairs.count()
+    size = max(LEAST, n // MOST)
     full = pairs
     for side, name in (("a", "x"), ("b", "y")):
         full = salted_join(full, sets.select(F.col("class").alias(side), F.col("members").alias(name)), [side], size, pairs)
-    return full.select("a", "b", "x", "y").mapInArrow(streamed(run), "a binary, b binary")
+    # what is left is narrow: a few files, whatever the number of tasks that verify
+    return full.select("a", "b", "x", "y").mapInArrow(streamed(run), "a binary, b binary").repartition(max(1, -(-n // FILE_POSTINGS)))
 
 
 def linked_classes(table: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root) for each class of a table ``SHINGLED`` that links with another."""
+    """(node, root) for each class of a table ``SHINGLED`` that links with another; a written table."""
     held = table.where(F.col("members").isNotNull())
     sets = held.groupBy("class").agg(F.first("members").alias("members"))
-    classes = materialize(held.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "tokens", "positions")]), "jaccard-classes")
+    classes = materialize(held.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "tokens", "positions")]), "jaccard-classes", held.count())
+    n_classes, n_postings = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
     # a group: the classes with one size and prefix
     groups = classes.groupBy("prefix").agg(F.min("class").alias("head"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("positions").alias("positions"))
     posting = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("positions").alias("at")))
     postings = groups.select("head", "prefix", "n", posting.alias("p")).select("head", "prefix", "n", F.col("p.token").alias("token"), F.col("p.at").alias("at"))
-    postings = materialize(postings, "jaccard-postings")
+    postings = materialize(postings, "jaccard-postings", n_postings, FILE_POSTINGS)
     # the group that meets the shingle first has the fewest rare ones of its own: the middle of a cluster
     met = postings.groupBy("token").agg(F.min(F.struct("at", "n", "head")).alias("hub"), F.count(F.lit(1)).alias("n_groups")).where(F.col("n_groups") > 1)
     ways = salted_join(postings, met, ["token"], NARROW).where((F.col("head") != F.col("hub.head")) & could_link(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), percent))
     chosen = ways.groupBy("head").agg(F.max(F.struct("n_groups", "token", F.col("hub.head").alias("to"))).alias("w")).select(F.col("head").alias("a"), F.col("w.to").alias("b"))
     within = salted_join(classes.select("class", "prefix"), groups.select("prefix", "head"), ["prefix"], NARROW).where(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
-    n_classes = classes.count()
     links = materialize(verified(materialize(chosen.unionByName(within), "jaccard-pairs", 2 * n_classes), sets, percent), "jaccard-links")
     part = materialize(roots(links), "jaccard-parts", n_classes)
     # units: members of a group that are in one component so far
-    owned = materialize(classes.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-owned")
+    owned = materialize(classes.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-owned", n_classes)
     units = owned.groupBy("prefix", "root").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("positions").alias("positions"))
     posted = units.select("prefix", "root", "n", posting.alias("p")).select("prefix", "root", "n", F.col("p.token").alias("token"), F.col("p.at").alias("at"))
-    posted = materialize(posted, "jaccard-units")
+    posted = materialize(posted, "jaccard-units", n_postings, FILE_POSTINGS)
     mixed = posted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where(F.col("r1") != F.col("r2")).select("token")
     most = largest_partner(F.col("n"), F.col("at"), percent)
-    probes = materialize(salted_join(posted, mixed, ["token"], NARROW).withColumn("size", size_class(F.col("n"))), "jaccard-probes")
+    probes = materialize(salted_join(posted, mixed, ["token"], NARROW).withColumn("size", size_class(F.col("n"))), "jaccard-probes", n_postings, FILE_POSTINGS)
     index = probes.where(most >= F.col("n")).withColumn("size", F.explode(F.sequence(size_class(F.col("n")), size_class(most))))
     index = index.select("token", "size", *[F.col(c).alias(f"o_{c}") for c in ("prefix", "root", "n", "at")])
     smaller = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_root") < F.col("root")))
@@ -186,18 +190,20 @@ def linked_classes(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     whole = owned.select(F.col("class").alias("node"), "root")
     ends = late.join(whole.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(whole.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select("ra", "rb")
     top = materialize(roots(ends, "ra", "rb"), "jaccard-tops")
-    return whole.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    moved = salted_join(whole, top.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"]).select("node", F.col("top").alias("root"))
+    tree = part.join(moved.select(F.col("node").alias("_moved")), F.col("node") == F.col("_moved"), "left_anti").unionByName(moved)
+    return materialize(tree, "jaccard-roots", n_classes)
 
 
 def components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, mark (hash of the text), n_shingles, component_id (smallest id reachable by links), class_size (documents with the same set)
     and component (a name that is never null) for every row."""
     table = materialize(shingled(docs, text, k, percent), "jaccard-sets")
-    tree = materialize(linked_classes(table, percent), "jaccard-roots")
+    tree = linked_classes(table, percent)
     classes = table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("class_size"))
-    classes = classes.join(tree.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "root").select("class", "root", "component_id", "class_size")
+    lows = classes.join(tree.withColumnRenamed("node", "class"), "class").groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = salted_join(tree, lows, ["root"]).withColumnRenamed("node", "class")
+    named = classes.join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), "class_size")
     out = table.select("doc_id", "mark", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     alone = F.col("class").isNull()
     return out.select(
