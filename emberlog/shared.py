@@ -1,9 +1,11 @@
-"""The folder that the driver and all executors share, and tables written there."""
+"""What the driver and all executors share: a folder, tables written there, and this package."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,20 @@ def clean_up(spark: SparkSession) -> None:
     """Delete all that this application has written into the shared folder. Results that still read from there fail after it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="emberlog-code-")) / "emberlog_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED[context.applicationId] = str(archive)

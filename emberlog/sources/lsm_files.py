@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from emberlog.errors import LogError, ManifestError, SegmentError
 from emberlog.operators.fold import newest_wins
+from emberlog.shared import ship
 from emberlog.sources.files import Files, open_uri
 
 Entry = tuple[str, bytes | None]
@@ -129,6 +130,7 @@ def write_tables(run: DataFrame, files: Files, n_ranges: int, table_size: int =
 
     A task sorts one key range and writes tables of about ``table_size`` bytes, holding one at a time.
     """
+    ship(run.sparkSession)
     root = files.root
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +213,7 @@ def live_files(files: Files) -> tuple[list[list[str]], list[str]]:
 
 def read_database(spark: SparkSession, root: str) -> DataFrame:
     """key, value, deleted and seq of the newest entry of each key of such a database. Files are parsed by the executors, one at a time."""
+    ship(spark)
     files = Files(spark, root)
     levels, logs = live_files(files)
     oldest_first = [*(n for level in reversed(levels[1:]) for n in level), *levels[0], *logs]
