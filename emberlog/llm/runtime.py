@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog import shared
 from emberlog.shared import clean_up, fresh_path, materialize, shared_dir
 
 __all__ = ["clean_up", "crc32_of_id", "fresh_path", "grouped", "materialize", "paired", "release", "shared_dir", "ship", "streamed", "tokenizer_path"]
@@ -84,20 +82,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_SHIPPED: dict[str, str] = {}
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that they need no installation of it; bound the session's batches."""
+    """Send this package to the executors, and bound the session's batches."""
     if spark.conf.get(_BATCH_CONF, None) is None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[2]
-    archive = Path(tempfile.mkdtemp(prefix="emberlog-code-")) / "emberlog_code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted((root / "emberlog").rglob("*.py")):
-            z.write(source, source.relative_to(root))
-    context.addPyFile(str(archive))
-    _SHIPPED[context.applicationId] = str(archive)
+    shared.ship(spark)

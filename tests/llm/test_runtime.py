@@ -1,3 +1,6 @@
+import numpy as np
+import pyarrow as pa
+
 from emberlog.llm import runtime as R
 
 
@@ -29,3 +32,23 @@ def test_shared_folder(spark, tmp_path):
 def test_written_tables_are_read_back(spark):
     df = R.materialize(spark.createDataFrame([(1, None), (2, "x")], "a long, b string"), "t")
     assert sorted(df.collect()) == [(1, None), (2, "x")] and df.inputFiles()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    R.ship(spark)
+    rows = spark.range(0, 300, numPartitions=1).selectExpr("repeat('x', 200000) AS t")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert max(found) <= R.BATCH_BYTES + 400_000 and sum(found) >= 300 * 200_000
+
+
+def test_release_is_safe():
+    held = np.ones(1 << 22)
+    R.release()
+    assert held.sum() == 1 << 22
+    assert list(R.streamed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+    assert R.grouped(lambda t: t + 1)(1) == 2 and R.paired(lambda a, b: a + b)(1, 2) == 3
