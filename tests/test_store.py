@@ -4,6 +4,7 @@ import pytest
 
 from emberlog.config import StoreConfig
 from emberlog.errors import InvalidRootPath, LockedError, LogError, ManifestError, SegmentPathError, StoreError
+from emberlog.plans.compaction import stretches
 from emberlog.plans.manifest import Segment, State, parse
 from emberlog.sources import wal
 from emberlog.sources.files import Files
@@ -304,6 +305,39 @@ def test_file_ranges():
     assert [s.may_hold_prefix(k) for k in ("", "a", "b", "ba", "c", "d", "da", "e")] == [True, False, True, True, True, True, False, False]
 
 
+def test_merges_leave_files_that_meet_nothing(spark, tmp_path):
+    with KVStore.open(spark, str(tmp_path / "s")) as s:
+        for c in "acegi":  # one file of level 1 for each letter
+            s.put_all(spark.createDataFrame([(f"{c}{i}", "old") for i in range(4)], "key string, value string"))
+            s.compact(0)
+        before = {x.smallest[0]: x.path for x in s.levels()[1]}
+        assert len(before) == 5
+        s.put_all(spark.createDataFrame([("c1", "new"), ("d", "new")], "key string, value string"))
+        s.put_all(spark.createDataFrame([("g9", None), ("g2", None)], "key string, value string"))
+        s.compact(0)
+        after = {x.smallest[0]: x.path for x in s.levels()[1]}
+        assert {c for c in "aeiacg" if after.get(c) == before[c]} == set("aei") and len(s.levels()[1]) == 5
+        model = {f"{c}{i}": b"old" for c in "acegi" for i in range(4)} | {"c1": b"new", "d": b"new"}
+        del model["g2"]
+        assert dict(pairs(s.scan())) == model
+        held = s.levels()[1]
+        assert all(a.largest < b.smallest for a, b in zip(held, held[1:]))
+
+
+def test_stretches():
+    r = random.Random(4)
+    for _ in range(300):
+        cuts = sorted(r.sample(range(100), 20))
+        lower = [Segment("r", f"l{i}", f"{a:02}", f"{b:02}") for i, (a, b) in enumerate(zip(cuts[::2], cuts[1::2])) if r.random() < 0.8]
+        upper = [Segment("r", f"u{i}", f"{min(x):02}", f"{max(x):02}") for i, x in enumerate([r.choices(range(100), k=2) for _ in range(r.randrange(1, 12))])]
+        upper = [u if r.random() < 0.5 else Segment("r", u.path, u.smallest, u.smallest) for u in upper]
+        most = r.choice([1, 2, 8])
+        merged, kept = stretches(upper, lower, most)
+        assert sorted(s.path for part in [*merged, kept] for s in part) == sorted(s.path for s in [*upper, *lower]) and 1 <= len(merged) <= most
+        spans = sorted([(min(s.smallest for s in part), max(s.largest for s in part)) for part in merged] + [(s.smallest, s.largest) for s in kept])
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and all(s.path[0] == "l" for s in kept)
+
+
 def test_config():
     c = StoreConfig.small()
     assert c.level_max_size(2) == 1000 << 20 and c.level_max_sstables(1) == 4 and c.target_shard_size(1) == (100 << 20) // 4
