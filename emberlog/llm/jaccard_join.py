@@ -202,14 +202,14 @@ def components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: i
     tree = linked_classes(table, percent)
     classes = table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("class_size"))
     lows = classes.join(tree.withColumnRenamed("node", "class"), "class").groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = salted_join(tree, lows, ["root"]).withColumnRenamed("node", "class")
-    named = classes.join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), "class_size")
-    out = table.select("doc_id", "mark", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
-    alone = F.col("class").isNull()
-    return out.select(
-        "doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.when(alone, F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("mark").cast("string"))).otherwise(F.hex("root")).alias("component"),
-    )
+    tops = salted_join(tree, lows, ["root"]).withColumnRenamed("node", "class")
+    named = classes.join(tops, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), "class_size")
+    rows = table.select("doc_id", "mark", F.col("n").alias("n_shingles"), "class")
+    # very many copies may be of one class
+    linked = salted_join(rows.where(F.col("class").isNotNull()), named, ["class"]).select("doc_id", "mark", "n_shingles", "component_id", "class_size", F.hex("root").alias("component"))
+    name = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("mark").cast("string"))
+    alone = rows.where(F.col("class").isNull()).select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), name.alias("component"))
+    return linked.unionByName(alone)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
