@@ -33,6 +33,13 @@ class StoreConfig:
     def level_max_sstables(self, level: int) -> int:
         return self.level_base_max_sstables * 2**level
 
+    def level_for(self, size: int) -> int:
+        """The first level that may hold so many bytes."""
+        level = 0
+        while self.level_max_size(level) < size:
+            level += 1
+        return level
+
     def target_shard_size(self, level: int) -> int:
         """Bytes that a file of ``level`` should hold."""
         return max(1, self.level_max_size(level) // self.level_max_sstables(level))

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import os
 import socket
 import uuid
@@ -33,12 +32,10 @@ from emberlog.plans.compaction import compact_if_full, merge_level
 from emberlog.plans.manifest import Manifest, Segment, State
 from emberlog.schema import ENTRY, SEGMENT
 from emberlog.sources.files import Files
-from emberlog.sources.segments import read_segments, write_run
+from emberlog.sources.segments import files_for, read_segments, write_rows, write_run
 from emberlog.sources.wal import LocalLogs, SharedLogs
 
 
-#: Estimates from here on mean that Spark does not know.
-UNKNOWN_SIZE = 1 << 55
 #: Up to so many wanted keys reach the scan as a list.
 FEW_KEYS = 1000
 _NULL_KEY = "a key is null"
@@ -198,8 +195,10 @@ class KVStore:
         rows = pairs.withColumns({"key": key, "_gone": gone | value.isNull(), "_order": order_by if order_by is not None else F.struct(gone, value)})
         rows = rows.select("key", F.when(F.col("_gone"), F.lit(None)).otherwise(value).alias("value"), F.col("_gone").alias("deleted"), F.lit(self._seq).cast("long").alias("seq"), "_order")
         folded = newest_wins(rows, F.col("_order").desc()).drop("_order")
-        size = int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        n_files = max(1, math.ceil(size / self.config.target_shard_size(0))) if size < UNKNOWN_SIZE else None
+        # counted, as a task's memory depends on it; files are as large as suits the level that the run will get to
+        n_entries, n_raw = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.octet_length(F.col("key").cast("string")) + F.coalesce(F.octet_length(value), F.lit(0))).cast("long")), F.lit(0))).first()
+        size = min(n_raw, int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        n_files = files_for(size, self.config.target_shard_size(self.config.level_for(size)), n_entries, n_raw)
         try:
             segments = write_run(self.files, folded, n_files, self.config.block_max_size)
         except Exception as e:
@@ -230,13 +229,13 @@ class KVStore:
             self._new_log()
 
     def flush(self) -> None:
-        """Write each frozen buffer as a run of level 0, oldest first: data, then manifest, then the log goes."""
+        """Write each frozen buffer as a run of level 0, oldest first: data, then manifest, then the logs go."""
         self._check()
-        while self._frozen:
-            table = self._frozen[-1]
-            rows = self.spark.createDataFrame(table.rows(), ENTRY)
-            segments = write_run(self.files, rows, 1, self.config.block_max_size, max(1, len(table.entries)))
-            self.manifest.commit({"AddSegments": {"segments": [asdict(s) for s in segments], "log": table.log, "next_seq": self._seq}})
+        tables = list(reversed(self._frozen))
+        runs = [write_rows(self.files, table.rows(), self.config.block_max_size) for table in tables]
+        if tables:
+            self.manifest.commit(*({"AddSegments": {"segments": [asdict(s) for s in run], "log": table.log, "next_seq": self._seq}} for table, run in zip(tables, runs)))
+        for table in tables:
             self._frozen.pop()
             self._logs.delete(table.log)
 

@@ -1,0 +1,125 @@
+"""What a store's work costs as it grows: jobs, merges, commits, files and entries of one task."""
+
+import random
+
+import pytest
+
+from emberlog.config import StoreConfig
+from emberlog.plans import compaction
+from emberlog.plans.manifest import Segment
+from emberlog.sources import segments
+from emberlog.sources.files import Files, LocalFiles
+from emberlog.store import KVStore
+from tests.test_store import pairs
+
+TINY = StoreConfig(max_active_memtable_size=400, max_frozen_memtables=2, level_base_max_size=12_000, level_base_max_sstables=2)
+
+
+def fill(s, r, model, n):
+    for _ in range(n):
+        group = [(f"/é/{r.randrange(90):03}", r.choice([None, b"", bytes([r.randrange(256)]) * r.randrange(9)])) for _ in range(25)]
+        s.put_many(group)
+        model |= dict(group)
+    return sorted((k, v) for k, v in model.items() if v is not None)
+
+
+def test_buffers_and_small_merges_start_no_job(spark, tmp_path, monkeypatch):
+    def no_job(*_):
+        raise AssertionError("a job")
+
+    monkeypatch.setattr("emberlog.store.write_run", no_job)
+    monkeypatch.setattr("emberlog.plans.compaction.write_run", no_job)
+    with KVStore.open(spark, str(tmp_path / "s"), TINY) as s:
+        live = fill(s, random.Random(1), {}, 60)
+        assert len(s.levels()) > 1 and s.levels()[1] and pairs(s.scan()) == live
+        s.flush()
+        s.compact(0)
+        assert pairs(s.scan()) == live and all(s.get(k) == v for k, v in live[:5]) and s.get("/é/1") is None
+
+
+def test_small_merges_equal_those_of_spark(spark, tmp_path, monkeypatch):
+    found = []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(segments, "LOCAL_ENTRIES", most)
+        with KVStore.open(spark, str(tmp_path / f"s{most}"), StoreConfig(max_active_memtable_size=400, max_frozen_memtables=50)) as s:
+            live = fill(s, random.Random(2), {}, 20)
+            s.freeze()
+            s.flush()
+            s.compact(0)
+            s.compact(1)
+            fill(s, random.Random(3), {}, 3)
+            s.freeze()
+            s.flush()
+            s.compact(0)  # tombstones stay, as level 2 holds entries
+            assert {len(level) > 0 for level in s.levels()[1:]} == {True} and live
+            found.append((sorted(map(str, s.entries().collect())), [(x.smallest, x.largest, x.n_entries, x.n_raw) for _, x in s.manifest.state.segments()]))
+    assert found[0] == found[1]
+
+
+def test_segments_of_unknown_length_are_not_merged_on_the_driver():
+    known = Segment("r", "p", "a", "b", 5, 100, 50)
+    assert segments.is_small([known]) and not segments.is_small([known, Segment("r", "q", "a", "b", 5, 100)])
+    assert not segments.is_small([Segment("r", "p", "a", "b", 5, 100, segments.LOCAL_BYTES), known])
+
+
+def test_levels_that_overflow_together_are_merged_in_one_write(spark, tmp_path, monkeypatch):
+    merges = []
+    real = compaction.merge_level
+    monkeypatch.setattr(compaction, "merge_level", lambda *a: merges.append(a[4:]) or real(*a))
+    config = StoreConfig(level_base_max_size=3000, level_base_max_sstables=2)
+    with KVStore.open(spark, str(tmp_path / "s"), config) as s:
+        s.put_all(spark.range(5000).selectExpr("format_string('%06d', id) as key", "uuid() as value"))
+        assert merges == [(0, len(s.levels()) - 1)] and len(s.levels()) > 2
+        assert all(s.manifest.state.level_size(n) <= config.level_max_size(n) for n in range(len(s.levels()))) and s.scan().count() == 5000
+
+
+def test_reopening_keeps_the_manifest_short(spark, tmp_path):
+    root = str(tmp_path / "s")
+    for i in range(6):
+        with KVStore.open(spark, root) as s:
+            s.put(f"k{i}", b"v")
+            assert len(s.manifest.ops) == 1
+    with KVStore.open(spark, root) as s:
+        assert len(pairs(s.scan())) == 6
+
+
+def test_a_large_run_has_files_of_the_level_that_it_will_get_to(spark, tmp_path, monkeypatch):
+    counts = []
+    real = segments.write_run
+    monkeypatch.setattr("emberlog.store.write_run", lambda *a: counts.append(a[2]) or real(*a))
+    with KVStore.open(spark, str(tmp_path / "s"), StoreConfig(level_base_max_size=1000, level_base_max_sstables=2)) as s:
+        s.put_all(spark.range(2000).selectExpr("format_string('%06d', id) as key", "'0123456789' as value"))
+        assert counts[0] <= 8 and s.scan().count() == 2000  # 32,000 bytes are 64 files of level 0
+
+
+@pytest.mark.parametrize("level", [0, 1])
+def test_no_task_writes_more_than_its_share(spark, tmp_path, monkeypatch, level):
+    monkeypatch.setattr(segments, "TASK_ENTRIES", 1000, raising=False)
+    monkeypatch.setattr(segments, "LOCAL_ENTRIES", 0, raising=False)
+    with KVStore.open(spark, str(tmp_path / "s")) as s:
+        s.put_all(spark.range(6000).selectExpr("format_string('%06d', id) as key", "'v' as value"))
+        if level:
+            s.compact(0)
+        held = s.levels()[level]
+        assert len(held) >= 6 and max(x.n_entries for x in held) < 2500 and sum(x.n_entries for x in held) == 6000
+
+
+def test_local_files_do_what_hadoop_does(spark, tmp_path):
+    for kind in ("hadoop", "local"):
+        files = Files(spark, f"{tmp_path}/a b%20é-{kind}")
+        assert isinstance(files, LocalFiles)
+        if kind == "hadoop":
+            files = object.__new__(Files)
+            Files.__init__(files, spark, f"{tmp_path}/a b%20é-{kind}")
+        files.create("x/y", b"1")
+        with pytest.raises(Exception, match="cannot create"):
+            files.create("x/y", b"2")
+        files.replace("x/y", b"3")
+        assert files.read("x/y") == b"3" and set(files.sizes("x")) == {"y"} and files.sizes("x")["y"] == 1 and files.sizes("nothing") == {}
+        assert files.is_dir("x") and files.exists("x/y") and not files.is_dir("x/y")
+        assert (tmp_path / f"a b%20é-{kind}" / "x/y").read_bytes() == b"3"
+        files.delete("x/y")
+        files.delete("x/y")
+        assert files.sizes("x") == {}
+        files.delete("x")
+        assert not files.exists("x")
