@@ -35,8 +35,12 @@ class SegmentCache:
 
     def __call__(self, keys: list[bytes]) -> list[bytes]:
         new, old = self.new, self.old
-        out = [new.get(k) or old.get(k) for k in keys]
+        out = list(map(new.get, keys))
         missing = [i for i, v in enumerate(out) if v is None]
+        if missing and old:
+            for i, v in zip(missing, [old.get(keys[i]) for i in missing]):
+                out[i] = v
+            missing = [i for i in missing if out[i] is None]
         if missing:
             for i, v in zip(missing, self.encode([keys[i] for i in missing])):
                 out[i] = new[keys[i]] = v
@@ -90,7 +94,7 @@ class Segmented:
         ends = np.concatenate([self.start, [len(data)]]).astype(np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         self.index = np.asarray(pieces.indices, np.int64)
-        self.distinct: list[bytes] = pieces.dictionary.to_pylist()
+        self.distinct: list[bytes] = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.length = np.diff(ends)
 
 
@@ -104,8 +108,8 @@ def ids_of(seg: Segmented, cache: SegmentCache) -> tuple[np.ndarray, np.ndarray,
     return ids, np.concatenate([[0], np.cumsum(each)])[seg.first], each
 
 
-def byte_bpe(path: str) -> SegmentCache:
-    """The cached encoder for a byte-level BPE file of the tokenizers library."""
+def byte_bpe(path: str, most: int = 100_000) -> SegmentCache:
+    """The cached encoder for a byte-level BPE file of the tokenizers library; ``most`` is that of the cache."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -118,14 +122,18 @@ def byte_bpe(path: str) -> SegmentCache:
     table = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(printable))}
     one = tokenizer.model.tokenize
 
+    def written(key: bytes) -> str:
+        # of ASCII such a segment has only a blank that is written otherwise
+        return key.decode("latin-1").replace(" ", chr(table[32])) if key.isascii() else key.decode("latin-1").translate(table)
+
     def encode(keys: list[bytes]) -> list[bytes]:
-        out = [array("I", [t.id for t in one(k.decode("latin-1").translate(table))]).tobytes() if single(k) else None for k in keys]
+        out = [array("I", [t.id for t in one(written(k))]).tobytes() if single(k) else None for k in keys]
         rest = [i for i, v in enumerate(out) if v is None]
         for i, e in zip(rest, tokenizer.encode_batch_fast([keys[i].decode() for i in rest], add_special_tokens=False) if rest else []):
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    return SegmentCache(encode)
+    return SegmentCache(encode, most)
 
 
 _OPEN: dict[tuple, object] = {}

@@ -43,6 +43,8 @@ BLOCK = 512
 PERCENTILE = 0.9
 #: Bytes of text for each file: the least, and the most, which very large inputs get so that files (and tasks) do not become too many.
 FILE_BYTES, MOST_BYTES, MANY_FILES = 16 << 20, 64 << 20, 4096
+#: Bytes of text that are encoded together, and distinct segments that half of a worker's cache holds: what both halves hold is some 100 MB.
+CHUNK_BYTES, CACHED = 2 << 20, 250_000
 #: Parts in which the numbers of ids before each file are added up.
 PARTS = 1000
 #: The id that ends a document.
@@ -201,7 +203,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.cache, self.whole = byte_bpe(path), Tokenizer.from_file(path)
+        self.cache, self.whole = byte_bpe(path, CACHED), Tokenizer.from_file(path)
         self.marks = sorted({t.content for t in self.whole.get_added_tokens_decoder().values() if t.content})
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +229,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text",
         encode, writer, sink, name, n, shard = once((tokenizer, "whole"), lambda: Encoder(tokenizer)), None, None, "", 0, TaskContext.get().partitionId()
         for batch in batches:
             texts, doc_ids = large(batch.column("text")), batch.column("doc_id").to_pylist()
-            for lo, hi in row_ranges(texts):
+            for lo, hi in row_ranges(texts, CHUNK_BYTES):
                 if writer is None:
                     name = f"{path}/tokens-{shard:06d}-{uuid.uuid4().hex}.pfor"
                     sink = _open_file(name, "w")

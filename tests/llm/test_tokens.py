@@ -65,6 +65,18 @@ def test_file_gives_any_range():
         T.Reader(f.getvalue()[:-1])
 
 
+def test_segments_seen_before_are_not_encoded_again():
+    encode, asked = T.Encoder(BPE), []
+    real = encode.cache.encode
+    encode.cache.encode = lambda keys: asked.append(len(keys)) or real(keys)
+    words = np.unique(np.random.Generator(np.random.PCG64(1)).integers(26**4, 26**5, 300_000))
+    letters = lambda x: "".join(chr(97 + x // 26**i % 26) for i in range(5))
+    texts = [pa.array([" ".join(map(letters, part.tolist()))], pa.large_string()) for part in np.array_split(words, 8)]
+    first = [encode(t)[0] for t in texts]
+    told = sum(asked)
+    assert told > 250_000 and all((a == encode(t)[0]).all() for a, t in zip(first, texts)) and sum(asked) == told
+
+
 def test_token_files(spark, edge, edge_rows, empty):
     manifest = T.write_tokens(edge, BPE, fresh_path(spark, "t"), file_bytes=60_000)
     assert manifest.count() > 1
