@@ -141,7 +141,9 @@ def store_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
             s.put_all(_source(spark, sf_dir, prec).withColumn("at", F.col("seq")), order_by=F.col("at"))
             for level in merges:
                 s.compact(level)
-        return s.segments().groupBy("level", "run").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n_entries").alias("n_entries")).drop("run")
+        # a level below the first is one run, in however many writes its files were made
+        by = F.when(F.col("level") == 0, F.col("run")).alias("run")
+        return s.segments().groupBy("level", by).agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n_entries").alias("n_entries")).drop("run")
 
 
 def store_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """What a store's work costs as it grows: jobs, merges, commits, files and entries of one task."""
 
+import os
 import random
 
+import duckdb
 import pytest
 
 from emberlog.config import StoreConfig
@@ -10,8 +12,10 @@ from emberlog.plans.manifest import Segment
 from emberlog.sources import segments
 from emberlog.sources.files import Files, LocalFiles
 from emberlog.store import KVStore
+from emberlog.store_queries import ORACLE_SQL_STORE, store_levels
 from tests.test_store import pairs
 
+SMALL = "/root/testdata/sf0.001"
 TINY = StoreConfig(max_active_memtable_size=400, max_frozen_memtables=2, level_base_max_size=12_000, level_base_max_sstables=2)
 
 
@@ -104,6 +108,16 @@ def test_no_task_writes_more_than_its_share(spark, tmp_path, monkeypatch, level)
         assert len(held) >= 6 and max(x.n_entries for x in held) < 2500 and sum(x.n_entries for x in held) == 6000
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_a_level_of_many_files_is_one_run(spark, monkeypatch):
+    monkeypatch.setattr(segments, "TASK_ENTRIES", 300)
+    monkeypatch.setattr(segments, "LOCAL_ENTRIES", 0)
+    events = duckdb.connect()
+    events.execute(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    told = events.execute(ORACLE_SQL_STORE["store_levels"]).fetchall()
+    assert sorted(map(tuple, store_levels(spark, SMALL).collect())) == sorted(told) and len(told) == 3
+
+
 def test_local_files_do_what_hadoop_does(spark, tmp_path):
     for kind in ("hadoop", "local"):
         files = Files(spark, f"{tmp_path}/a b%20é-{kind}")
